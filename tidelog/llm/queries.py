@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat, decontaminate, line_dedup, url_filter
+from tidelog.llm import chat, decontaminate, line_dedup, near_dedup, packing, pii, quality, sharding, url_filter, warc
 from tidelog.llm.shared import hex_sha256, literal_rows
 
 
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(_table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -73,6 +77,33 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_table(spark, sf_dir, "documents"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digest(_table(spark, sf_dir, "pages"))
+
+
+_OP8 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
+d AS (SELECT page_id, octet_length(raw) AS n, sha256(raw) AS digest FROM p),
+f AS (SELECT digest, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+FROM d LEFT JOIN f USING (digest)
+"""
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -88,10 +119,45 @@ SELECT page_id, host, path, rule, coalesce(action, CASE WHEN regexp_matches('.'
 FROM p LEFT JOIN m USING (page_id)
 """
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(_table(spark, sf_dir, "documents"))
+
+
+_OP10 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+line AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, g FROM win GROUP BY doc_id, g HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM win JOIN twice USING (doc_id, g)) GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, length(regexp_replace(text, '[^!?]', '', 'g')) AS n_marks
+  FROM d LEFT JOIN line USING (doc_id) LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, (n_words < 20)::INT AS b0, (100 * n_repeat_words > 30 * n_words)::INT AS b1, (10 * n_symbols > 2 * n_words)::INT AS b2, (10 * n_dup_lines > 3 * n_lines)::INT AS b3,
+  (word_chars < 2 * n_words)::INT AS b4, (word_chars > 20 * n_words)::INT AS b5, (2 * n_marks > n_words)::INT AS b6 FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, b0 + b1 > 0 AS base_failed, b0 + b1 + b2 + b3 + b4 + b5 + b6 = 0 AS kept,
+  CAST(b0 + 2 * b1 + 4 * b2 + 8 * b3 + 16 * b4 + 32 * b5 + 64 * b6 AS BIGINT) AS failures
+FROM b
+"""
+
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
     "op3_chat_format": op3_chat_format,
     "op4_line_dedup": op4_line_dedup,
+    "op5_packing": op5_packing,
+    "op6_pii": op6_pii,
+    "op7_near_dedup": op7_near_dedup,
+    "op8_warc": op8_warc,
     "op9_url_filter": op9_url_filter,
+    "op10_quality_rules": op10_quality_rules,
+}
+ORACLE_SQL = {
+    "op2_decontamination": _OP2,
+    "op3_chat_format": _OP3,
+    "op4_line_dedup": _OP4,
+    "op8_warc": _OP8,
+    "op9_url_filter": _OP9,
+    "op10_quality_rules": _OP10,
 }
-ORACLE_SQL = {"op2_decontamination": _OP2, "op3_chat_format": _OP3, "op4_line_dedup": _OP4, "op9_url_filter": _OP9}
