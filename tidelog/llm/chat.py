@@ -54,19 +54,25 @@ def chain_parents(turns: DataFrame, conv_col: str = "conv_id", order: tuple[str,
 
 
 def _ancestors(tree: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(node, depth, total score) of all messages, and the jump tables of 1, 2, 4 ... steps."""
+    """(node, depth, total score) of all messages that have a root, and the jump tables of 1, 2, 4 ... steps.
+
+    Messages on a cycle or below one never come to a root; the turns end when only they are left.
+    """
     known = tree.select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"))
     known = stored(known, "jumps")
-    jumps = [known.where("up is not null").select("node", "up")]
-    while not jumps[-1].isEmpty():
+    jumps, going, before = [], known.where("up is not null"), None
+    # among messages that still have something above, those of half the depth drop out in each turn
+    while (n := going.count()) and n != before:
+        before = n
+        jumps.append(going.select("node", "up"))
         above = known.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
-        known = known.join(above, "up", "left").select(
+        moved = going.join(above, "up").select(
             "node", F.col("up2").alias("up"),
-            (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"),
+            (F.col("depth") + F.col("d2")).alias("depth"), (F.col("total") + F.col("t2")).alias("total"),
         )
-        known = stored(known, "jumps")
-        jumps.append(known.where("up is not null").select("node", "up"))
-    return known.select("node", "depth", "total"), jumps[:-1]
+        known = stored(known.where("up is null").unionByName(moved), "jumps")
+        going = known.where("up is not null")
+    return known.where("up is null").select("node", "depth", "total"), jumps
 
 
 def paths(tree: DataFrame, per_tree: int | None = 1) -> DataFrame:
