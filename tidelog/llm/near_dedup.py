@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import small, stored
+from tidelog.llm.shared import small, small_batches, stored
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 4
@@ -35,7 +35,7 @@ _U = np.uint64
 #: Weights are sampled in steps of _STEP of their logarithm; the first level is 1 - DAMPING.
 _STEP, _LEVELS = 0.02, 160
 _SCALE = 1 << 20
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 
 _fold = np.zeros(256, dtype=np.uint8)
 for _b in (*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)):
@@ -145,8 +145,9 @@ def shingle_frequencies(docs: DataFrame) -> np.ndarray:
 
     sums = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     table = np.zeros(TABLE, np.int64)
-    for r in sums.toLocalIterator():
-        table[r["bucket"]] = r["n"]
+    with small_batches(docs.sparkSession):
+        for r in sums.toLocalIterator():
+            table[r["bucket"]] = r["n"]
     return table
 
 
@@ -172,12 +173,14 @@ class _Sampler:
 
     def __init__(self):
         rng, n = np.random.default_rng(_SEED + 1), len(_functions)
-        r, b = rng.gamma(2.0, 1.0, (n, 1, 1024)), rng.random((n, 1, 1024))
-        log_w = np.log(1 - DAMPING) + _STEP * np.arange(_LEVELS).reshape(1, -1, 1)
-        t = np.floor(log_w / r + b)
-        self.t = t.astype(np.int32)
-        self.part = ((-r * (t - b) - r) * _SCALE).astype(np.int32)
-        grid = np.linspace(0, 30, 1 << 20)
+        log_w = (np.log(1 - DAMPING) + _STEP * np.arange(_LEVELS)).reshape(-1, 1)
+        self.t, self.part = np.empty((n, _LEVELS * 1024), np.int16), np.empty((n, _LEVELS * 1024), np.int32)
+        for k in range(n):
+            r, b = np.maximum(rng.gamma(2.0, 1.0, 1024), 1e-3), rng.random(1024)
+            t = np.floor(log_w / r + b)
+            self.t[k] = t.ravel()
+            self.part[k] = ((-r * (t - b) - r) * _SCALE).ravel()
+        grid = np.linspace(0, 30, 1 << 18)
         c = np.interp((np.arange(1 << 16) + 0.5) / (1 << 16), 1 - (1 + grid) * np.exp(-grid), grid)
         self.log_c = ((np.log(c) + 64) * _SCALE).astype(np.int32)
 
@@ -194,10 +197,10 @@ class _Sampler:
         for k, a in enumerate(_functions):
             h = found * a
             at_rb = (h >> _U(54)).astype(np.int64) + level
-            value = self.part[k].ravel()[at_rb] + self.log_c[((h >> _U(38)) & _U(0xFFFF)).astype(np.int64)]
+            value = self.part[k][at_rb] + self.log_c[((h >> _U(38)) & _U(0xFFFF)).astype(np.int64)]
             best = np.minimum.reduceat((value.astype(np.uint64) << _U(32)) | place, at) & _U(0xFFFFFFFF) if len(at) else at
             best = best.astype(np.int64)
-            sample = _mix(found[best] + self.t[k].ravel()[at_rb[best]].astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+            sample = _mix(found[best] + self.t[k][at_rb[best]].astype(np.int64).view(np.uint64) * _U(0x9E3779B97F4A7C15))
             keys[:, k // ROWS] = _mix(keys[:, k // ROWS] * _U(3) + sample + _U(k))
         return docs[at], keys
 

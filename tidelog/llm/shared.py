@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.folders import shared_path
+
 #: Most rows of a few longs that a join may broadcast; beyond it, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -15,30 +17,25 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share: spark.checkpoint.dir.
-
-    Only a local master may go without that setting; it then gets a folder of this machine.
-    """
-    conf = spark.sparkContext.getConf()
-    if folder := conf.get("spark.checkpoint.dir"):
-        return folder.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local[") and conf.get("spark.master") != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"file://{tempfile.gettempdir()}/tidelog-shared"
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's JVM ends."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return path.toString()
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> Iterator[None]:
+    """Arrow batches of at most so many rows and bytes, while what stands inside runs."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: a lost executor costs no more than its tasks."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
