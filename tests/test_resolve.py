@@ -68,7 +68,7 @@ def test_snapshots_delete_and_put_again(spark):
 
 def test_many_snapshots_at_once(spark, random_rows):
     points = [40, 90, 300]
-    views = R.snapshot_views(log_of(spark, random_rows), spark.createDataFrame([(p,) for p in points], "snapshot long"))
+    views = R.snapshot_views(log_of(spark, random_rows), points)
     want = sorted((p, *row) for p in points for row in Model(random_rows).live(p))
     assert got(views, "snapshot", "key", "version", "value") == want
 

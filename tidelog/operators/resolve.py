@@ -6,6 +6,8 @@ row a key before its shuffle, so a key with many versions sends one row from eac
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,17 +37,27 @@ def snapshot_view(log: DataFrame, as_of: int | None = None) -> DataFrame:
     return winners(log, as_of).where(~F.col(TOMBSTONE))
 
 
-def snapshot_views(log: DataFrame, versions: DataFrame) -> DataFrame:
-    """The live rows at each of several versions (column snapshot), marked with it.
+def slot(points: list[int]) -> Column:
+    """The first point at or above a row's version; null above the last."""
+    ordered = sorted(set(points))
+    if not ordered:
+        return F.lit(None).cast("long")
+    first, *rest = ordered
+    version = F.col(VERSION)
+    return reduce(lambda c, p: c.when(version <= p, F.lit(p)), rest, F.when(version <= first, F.lit(first))).cast("long")
+
+
+def snapshot_views(log: DataFrame, points: list[int]) -> DataFrame:
+    """The live rows at each of several versions, marked with it in the column snapshot.
 
-    Each row is visible from its version to the next of its key, so one window replaces a scan a
-    version; only rows that are visible somewhere are copied.
+    The winner of each key and slot is seen from its point up to the key's next one, so one scan and a
+    window over at most a row a key and point replace a scan a version.
     """
-    following = F.lead(VERSION).over(Window.partitionBy(KEY).orderBy(VERSION, TOMBSTONE))
-    points = versions.agg(F.array_sort(F.collect_set("snapshot")).alias("_points"))
-    spans = log.withColumn("_next", following).where(~F.col(TOMBSTONE)).crossJoin(F.broadcast(points))
-    seen = F.filter("_points", lambda p: (p >= F.col(VERSION)) & (F.col("_next").isNull() | (p < F.col("_next"))))
-    return spans.withColumn("snapshot", F.explode(seen)).drop("_next", "_points")
+    best = winners(log.withColumn("_slot", slot(points)).where(F.col("_slot").isNotNull()), by=(KEY, "_slot"))
+    best = best.withColumn("_next", F.lead("_slot").over(Window.partitionBy(KEY).orderBy("_slot"))).where(~F.col(TOMBSTONE))
+    held = F.array(*[F.lit(p).cast("long") for p in sorted(set(points))]).cast("array<bigint>")
+    seen = F.filter(held, lambda p: (p >= F.col("_slot")) & (F.col("_next").isNull() | (p < F.col("_next"))))
+    return best.withColumn("snapshot", F.explode(seen)).drop("_next", "_slot")
 
 
 def point_get(log: DataFrame, key, as_of: int | None = None) -> DataFrame:

@@ -7,13 +7,11 @@ where comparing each version with the next would bring all versions of a key tog
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelog.operators.resolve import newest_first, winners
+from tidelog.operators.resolve import newest_first, slot, winners
 from tidelog.schema import KEY, SEGMENT, TOMBSTONE, VERSION
 
 KEEP, ELIMINATE = "keep", "eliminate"
@@ -24,16 +22,6 @@ def observation_points(snapshots: list[int], latest: int) -> list[int]:
     return sorted({*snapshots, latest})
 
 
-def slot(points: list[int]) -> Column:
-    """The first point at or above a row's version; null above the last."""
-    ordered = sorted(set(points))
-    if not ordered:
-        return F.lit(None).cast("long")
-    first, *rest = ordered
-    version = F.col(VERSION)
-    return reduce(lambda c, p: c.when(version <= p, F.lit(p)), rest, F.when(version <= first, F.lit(first))).cast("long")
-
-
 def retained(log: DataFrame, points: list[int]) -> DataFrame:
     """The rows that retention keeps. Points must include the latest version: rows above the last point go."""
     slotted = log.withColumn("_slot", slot(points)).where(F.col("_slot").isNotNull())

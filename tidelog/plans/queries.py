@@ -47,8 +47,7 @@ def as_of_scan(spark, sf_dir):
 
 @query
 def multi_snapshot_scan(spark, sf_dir):
-    versions = spark.createDataFrame([(100,), (2500,), (5000,)], "snapshot long")
-    return R.snapshot_views(events_log(spark, sf_dir, 5000), versions).select("snapshot", KEY, VERSION, "value")
+    return R.snapshot_views(events_log(spark, sf_dir, 5000), [100, 2500, 5000]).select("snapshot", KEY, VERSION, "value")
 
 
 @query
@@ -194,8 +193,7 @@ def compaction_preserves_as_of(spark, sf_dir):
     points = _points(log)
     rows, _ = C.merged(log.where(F.col(SEGMENT) <= 5), points, 1_000_000)
     after = rows.unionByName(log.where(F.col(SEGMENT) > 5))
-    views = R.snapshot_views(after, spark.createDataFrame([(p,) for p in points], "snapshot long"))
-    return views.select("snapshot", KEY, VERSION, "value")
+    return R.snapshot_views(after, points).select("snapshot", KEY, VERSION, "value")
 
 
 @query
