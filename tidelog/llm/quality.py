@@ -7,6 +7,7 @@ policy, or the effect of leaving a rule out, is bit arithmetic over the ledger a
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,22 +17,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW = 8
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_stutters"]
 
 #: A rule fails where its condition over the measurements holds; its bit is its place in this list.
 RULES = [
     ("few_words", "n_words < 20"),
     ("repeated_words", "100 * n_repeat_words > 30 * n_words"),
     ("symbols", "10 * n_symbols > 2 * n_words"),
-    ("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("repeated_lines", "n_dup_lines >= 5 and 10 * n_dup_lines > 3 * n_lines"),
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 20 * n_words"),
     ("shouting", "2 * n_marks > n_words"),
+    ("stuttering", "10 * n_stutters > 3 * n_words"),
 ]
 #: The rules that reject, by version of the policy.
 POLICIES = {
     "base": ["few_words", "repeated_words"],
-    "v1": ["few_words", "repeated_words", "symbols", "repeated_lines", "short_words", "long_words", "shouting"],
+    "v1": ["few_words", "repeated_words", "symbols", "repeated_lines", "short_words", "long_words", "shouting", "stuttering"],
 }
 
 _SPACE, _SYMBOLS, _MARKS = b" \t\n\x0b\x0c\r", b"#*$%&|<>", b"!?"
@@ -73,6 +75,7 @@ def measures(text: str | None) -> tuple[int, ...]:
         repeated_words(found),
         len(lines),
         len(raw) - len(raw.translate(None, _MARKS)),
+        sum(map(operator.eq, found, found[1:])),
     )
 
 

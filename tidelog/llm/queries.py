@@ -132,12 +132,13 @@ twice AS (SELECT doc_id, g FROM win GROUP BY doc_id, g HAVING count(*) > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM win JOIN twice USING (doc_id, g)) GROUP BY doc_id),
 m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
-  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, length(regexp_replace(text, '[^!?]', '', 'g')) AS n_marks
+  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, length(regexp_replace(text, '[^!?]', '', 'g')) AS n_marks,
+  len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutters
   FROM d LEFT JOIN line USING (doc_id) LEFT JOIN rep USING (doc_id)),
-b AS (SELECT *, (n_words < 20)::INT AS b0, (100 * n_repeat_words > 30 * n_words)::INT AS b1, (10 * n_symbols > 2 * n_words)::INT AS b2, (10 * n_dup_lines > 3 * n_lines)::INT AS b3,
-  (word_chars < 2 * n_words)::INT AS b4, (word_chars > 20 * n_words)::INT AS b5, (2 * n_marks > n_words)::INT AS b6 FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, b0 + b1 > 0 AS base_failed, b0 + b1 + b2 + b3 + b4 + b5 + b6 = 0 AS kept,
-  CAST(b0 + 2 * b1 + 4 * b2 + 8 * b3 + 16 * b4 + 32 * b5 + 64 * b6 AS BIGINT) AS failures
+b AS (SELECT *, (n_words < 20)::INT AS b0, (100 * n_repeat_words > 30 * n_words)::INT AS b1, (10 * n_symbols > 2 * n_words)::INT AS b2, (n_dup_lines >= 5 AND 10 * n_dup_lines > 3 * n_lines)::INT AS b3,
+  (word_chars < 2 * n_words)::INT AS b4, (word_chars > 20 * n_words)::INT AS b5, (2 * n_marks > n_words)::INT AS b6, (10 * n_stutters > 3 * n_words)::INT AS b7 FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, b0 + b1 > 0 AS base_failed, b0 + b1 + b2 + b3 + b4 + b5 + b6 + b7 = 0 AS kept,
+  CAST(b0 + 2 * b1 + 4 * b2 + 8 * b3 + 16 * b4 + 32 * b5 + 64 * b6 + 128 * b7 AS BIGINT) AS failures
 FROM b
 """
 
