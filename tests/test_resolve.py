@@ -73,6 +73,11 @@ def test_many_snapshots_at_once(spark, random_rows):
     assert got(views, "snapshot", "key", "version", "value") == want
 
 
+def test_late_values_are_the_snapshot_view(spark, random_rows):
+    log = log_of(spark, random_rows)
+    assert got(R.late_values(log, 177), "key", "version", "value") == Model(random_rows).live(177)
+
+
 def test_point_get_and_exists(spark, random_rows):
     log, live = log_of(spark, random_rows), {k: v for k, v, _ in Model(random_rows).live(120)}
     for key in ("k0", "k1", "k2", "nobody"):

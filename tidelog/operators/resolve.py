@@ -37,6 +37,16 @@ def snapshot_view(log: DataFrame, as_of: int | None = None) -> DataFrame:
     return winners(log, as_of).where(~F.col(TOMBSTONE))
 
 
+def late_values(log: DataFrame, as_of: int | None = None) -> DataFrame:
+    """The snapshot view, chosen from the narrow columns and then joined to its payload.
+
+    For wide values: only keys, versions and tombstones are shuffled for the choice, and a tombstone's
+    payload is never looked at.
+    """
+    ids = [c for c in (KEY, VERSION, TOMBSTONE, SEGMENT) if c in log.columns]
+    return bounded(log, as_of).join(snapshot_view(log.select(*ids), as_of), ids, "left_semi")
+
+
 def slot(points: list[int]) -> Column:
     """The first point at or above a row's version; null above the last."""
     ordered = sorted(set(points))

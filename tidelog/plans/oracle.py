@@ -78,6 +78,7 @@ SELECT key, version, tombstone, n_ops FROM b {_TOP}""",
     "orders_live_by_segment": f"""WITH log AS (SELECT o_custkey AS key, o_orderkey + 1 AS version, o_orderstatus = 'F' AS tombstone, o_totalprice FROM orders)
 SELECT c_mktsegment, count(*) AS n_live, round(sum(o_totalprice), 2) AS total_price FROM {_winners()} AS w JOIN customer ON c_custkey = key WHERE NOT tombstone GROUP BY 1""",
     "conversations_as_of": f"WITH log AS (SELECT conv_id AS key, turn + 1 AS version, false AS tombstone, role, text FROM conversations) SELECT key, version, role, text FROM {_winners(where='version <= 3')}",
+    "late_value_scan": f"WITH log AS (SELECT conv_id AS key, turn + 1 AS version, false AS tombstone, role, text FROM conversations) SELECT key, version, role, text FROM {_winners(where='version <= 5')}",
     "pack_unpack": f"WITH {_LOG} SELECT key, 2 * version + tombstone::INT AS packed, version, tombstone FROM log",
     "codec_bits": f"""WITH {_LOG}, i AS (SELECT key % 8 AS bucket, key AS suffix, 2 * version + tombstone::INT AS pv, CAST(segment_id AS BIGINT) AS id FROM log),
 v AS (SELECT *, row_number() OVER w AS r, lag(pv) OVER w AS pb, lag(id) OVER w AS ib FROM i WINDOW w AS (PARTITION BY bucket, suffix ORDER BY pv DESC)),

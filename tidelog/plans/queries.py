@@ -72,6 +72,11 @@ def multi_get_status(spark, sf_dir):
     return R.multi_get(events_log(spark, sf_dir, 5000), keys, 5000).select("ordinal", KEY, VERSION, "value", "status")
 
 
+@query
+def late_value_scan(spark, sf_dir):
+    return R.late_values(conversations_log(spark, sf_dir, 5), 5).select(KEY, VERSION, "role", "text")
+
+
 @query
 def version_history(spark, sf_dir):
     return R.history(events_log(spark, sf_dir)).select(KEY, VERSION, TOMBSTONE, "value", F.col("rank").cast("long").alias("rank"))
