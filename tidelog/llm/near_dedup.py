@@ -5,9 +5,11 @@
    improved consistent weighted sampling; R samples make a band key.
 3. Equal texts are one class from the start; only their smallest doc_id goes on.
 4. ``_rounds``: the members of a band's bucket meet a pivot of the bucket, the pairs are verified by
-   the weighted Jaccard similarity of the whole texts, and verified pairs merge classes. Then every
-   pair of a bucket that still lies in two classes is verified, so no pair that shares a band goes
-   unverified unless its classes have merged already, and a large group costs pairs in proportion.
+   the weighted Jaccard similarity of the whole texts, and verified pairs merge classes.
+5. The texts of buckets that still hold several classes are joined exactly: two of them that are
+   similar share one of their rarest shingles (``prefixes``), and weights bound what else they can
+   share (``_meeting``, ``prefix_pairs``). So no link between them is lost, and a large group of near copies, most
+   of whose pairs differ by their own edits, costs pairs in proportion and not by its square.
 
 The idf is damped to between 1 - DAMPING and 1. Undamped, the shingles of a large group of near copies
 would weigh so much less than each copy's own edits that the group would fall apart.
@@ -19,13 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidelog.llm.shared import small, small_batches, stored
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 4
+#: Rounds in which the texts of a bucket, and then those under a shingle, meet one of them.
+PIVOTS, HUBS = 2, 3
 #: Width of the hashed table of document frequencies; its counts are off by some documents in TABLE / shingles a document.
 TABLE = 1 << 18
 DAMPING = 0.1
@@ -288,34 +293,109 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _classed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """members (key, doc_id) with their present class."""
+    """Rows with a doc_id, and its present class."""
     if labels is None:
         return members.withColumn("class_id", F.col("doc_id"))
-    return members.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return members.join(labels, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
 
 
-def _rounds(members: DataFrame, held: DataFrame, threshold: float, pivots: int = 2) -> DataFrame:
-    """The verified links (a, b) between members of common buckets (key, doc_id)."""
+def prefixes(held: DataFrame, frequencies: np.ndarray, threshold: float) -> DataFrame:
+    """(doc_id, found, before, total): the shingles under which a text is looked for, rarest first.
+
+    In one order of all shingles, by frequency, a text's similar partner shares one of those that come
+    before 1 - threshold of its weight; ``before`` is the weight of the text's shingles ahead of each.
+    """
+    shared = held.sparkSession.sparkContext.broadcast(frequencies)  # TABLE longs, whatever the input
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, parts = [], []
+            for doc, f, w in zip(batch.column("doc_id").to_pylist(), batch.column("found"), batch.column("weight")):
+                found, weight = np.frombuffer(f.as_buffer(), np.uint64), np.frombuffer(w.as_buffer(), np.float32).astype(np.float64)
+                order = np.lexsort((found, shared.value[_bucket(found)]))
+                before = np.cumsum(weight[order]) - weight[order]
+                n = int(np.searchsorted(before, (1 - threshold) * weight.sum() + 1e-6, side="right"))
+                docs += [doc] * n
+                parts.append((found[order[:n]], before[:n], np.full(n, weight.sum())))
+            columns = [np.concatenate([p[i] for p in parts] or [np.zeros(0, kind)]) for i, kind in enumerate((np.uint64, np.float64, np.float64))]
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(columns[0].view(np.int64)), *map(pa.array, columns[1:])], names=["doc_id", "found", "before", "total"])
+
+    return held.select("doc_id", "found", "weight").mapInArrow(run, "doc_id long, found long, before double, total double")
+
+
+def _meeting(posts: DataFrame, labels: DataFrame | None, threshold: float) -> DataFrame:
+    """The posts, with class_id, under which texts of different classes can meet.
+
+    At the first shingle that two texts share, at most what is left of either is common to both, and a
+    similarity of t needs t / (1 + t) of their weights together. So a post goes if it fails even against
+    the lightest text under its shingle.
+    """
+    posts = _classed(posts, labels)
+    share = threshold / (1 + threshold)
+    for _ in range(2):
+        met = posts.groupBy("found").agg(F.min("total").alias("least"), F.min("class_id").alias("low"), F.max("class_id").alias("high"))
+        posts = posts.join(met.where("low <> high").select("found", "least"), "found")
+        posts = stored(posts.where(F.col("total") - F.col("before") + 1e-6 >= share * (F.col("total") + F.col("least"))).drop("least"), "posts")
+    return posts
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def hub_pairs(posts: DataFrame, turn: int) -> DataFrame:
+    """Each text paired with one of another class under its shingle that has little of its own before it."""
+    own = (F.col("before") > 0.03 * F.col("total")).alias("own")
+    hub = F.min(F.struct(own, F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "class_id")).alias("hub")
+    met = posts.join(posts.groupBy("found").agg(hub), "found").where(F.col("class_id") != F.col("hub.class_id"))
+    return met.select(*_ordered("doc_id", "hub.doc_id")).distinct()
+
+
+def prefix_pairs(posts: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b) of different classes that can be similar, each made at the first shingle they share."""
+    share = threshold / (1 + threshold)
+    ahead = Window.partitionBy("doc_id").orderBy("before", "found").rowsBetween(Window.unboundedPreceding, -1)
+    posts = posts.withColumn("ahead", F.collect_list("found").over(ahead))
+    a, b = (posts.select(*[F.col(c).alias(f"{c}_{x}") for c in posts.columns]) for x in "ab")
+    room = F.least(F.col("total_a") - F.col("before_a"), F.col("total_b") - F.col("before_b")) + 1e-6
+    fits = (
+        (F.col("found_a") == F.col("found_b")) & (F.col("class_id_a") < F.col("class_id_b"))
+        & (room >= share * (F.col("total_a") + F.col("total_b"))) & ~F.arrays_overlap("ahead_a", "ahead_b")
+    )
+    return a.join(b, fits).select(*_ordered("doc_id_a", "doc_id_b")).distinct()
+
+
+def _rounds(members: DataFrame, held: DataFrame, frequencies: np.ndarray, threshold: float) -> DataFrame | None:
+    """(doc_id, class_id) of what links between members of common buckets (key, doc_id) connect."""
     links, labels = None, None
-    for turn in range(pivots + 1):
+
+    def verify(pairs: DataFrame) -> None:
+        nonlocal links, labels
+        found = similar(stored(pairs, "pairs"), held, threshold)
+        links = stored(found if links is None else links.unionByName(found), "links")
+        labels = components(links)
+
+    def open_buckets(turn: int) -> DataFrame:
         now = _classed(members, labels)
         mixed = now.groupBy("key").agg(
             F.min("class_id").alias("low"), F.max("class_id").alias("high"),
             F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "class_id")).alias("pivot"),
         ).where("low <> high")
-        open_ = stored(now.join(mixed.select("key", "pivot"), "key"), "buckets")
-        if open_.isEmpty():
-            break
-        if turn < pivots:
-            pairs = open_.where(F.col("class_id") != F.col("pivot.class_id")).select(
-                F.least("doc_id", "pivot.doc_id").alias("a"), F.greatest("doc_id", "pivot.doc_id").alias("b")
-            )
-        else:
-            a, b = (open_.select("key", F.col("doc_id").alias(x), F.col("class_id").alias(f"class_{x}")) for x in "ab")
-            pairs = a.join(b, "key").where((F.col("class_a") < F.col("class_b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = similar(pairs.distinct(), held, threshold)
-        links = stored(found if links is None else links.unionByName(found), "links")
-        labels = components(links)
+        return stored(now.join(mixed.select("key", "pivot"), "key"), "buckets")
+
+    for turn in range(PIVOTS):
+        buckets = open_buckets(turn)
+        if buckets.isEmpty():
+            return labels
+        verify(buckets.where(F.col("class_id") != F.col("pivot.class_id")).select(*_ordered("doc_id", "pivot.doc_id")).distinct())
+    asked = stored(open_buckets(PIVOTS).select("doc_id").distinct(), "open")
+    posts = stored(prefixes(held.join(asked, "doc_id", "left_semi"), frequencies, threshold), "posts")
+    for turn in range(HUBS):
+        meeting = _meeting(posts, labels, threshold)
+        if meeting.isEmpty():
+            return labels
+        verify(hub_pairs(meeting, turn))
+    verify(prefix_pairs(_meeting(posts, labels, threshold), threshold))
     return labels
 
 
@@ -330,7 +410,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     narrow = docs.select(F.col("doc_id").cast("long"), "text")
     known = narrow.where("doc_id is not null and text is not null")
-    idf = idf_table(shingle_frequencies(known), known.count())
+    frequencies = shingle_frequencies(known)
+    idf = idf_table(frequencies, known.count())
     drawn = stored(sketch(known, idf), "sketches")
     copies = stored(drawn.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "copies")
     many = copies.where("n > 1").select("digest", "rep")
@@ -342,7 +423,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = stored(members.join(shared, "key"), "members")
     asked = stored(members.select("doc_id").distinct(), "asked")
     held = features(known.join(small(asked, asked.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"]), idf)
-    labels = _rounds(members, stored(held, "features"), threshold)
+    labels = _rounds(members, stored(held, "features"), frequencies, threshold)
     links = same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     if labels is not None:
         by_class = same.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left")
