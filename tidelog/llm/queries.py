@@ -40,7 +40,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
     extra = [{"conv_id": -7, "turn": i, "role": r, "text": said} for i, r in enumerate(("user", "assistant"))]
-    turns = turns.unionByName(literal_rows(spark, extra, "conv_id long, turn long, role string, text string"))
+    turns = turns.unionByName(literal_rows(spark, extra, {"conv_id": "long", "turn": "long", "role": "string", "text": "string"}))
     out = chat.format_paths(chat.chain_parents(turns))
     back = out.select("tree", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("segments")).alias("loss"), "formatted")
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

@@ -59,6 +59,8 @@ def hex_sha256(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
-def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    """A few rows of the code's own, as a local relation of the plan."""
-    return spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+def literal_rows(spark: SparkSession, rows: list[dict], types: dict[str, str]) -> DataFrame:
+    """A few rows of the code's own, as literals of the plan."""
+    lit = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
+    each = [F.struct(*[lit(r[n]).cast(t).alias(n) for n, t in types.items()]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*each)))

@@ -20,7 +20,7 @@ SITE_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "exampl
 #: Words that, as a whole hyphen-separated part of a host label, mark advertising, betting and spam sites.
 BAD_WORDS = ["ads", "bets", "casino", "spam"]
 
-_SCHEMA = "rule string, action string, tier int, weight int, pattern string, tokens array<string>"
+_TYPES = {"rule": "string", "action": "string", "tier": "int", "weight": "int", "pattern": "string", "tokens": "array<string>"}
 
 
 def _tokens(text: str) -> list[str]:
@@ -44,7 +44,7 @@ def word_rule(action: str, word: str) -> dict:
 
 def default_rules(spark: SparkSession) -> DataFrame:
     rules = [site_rule(*r) for r in SITE_RULES] + [word_rule("block", w) for w in BAD_WORDS]
-    return literal_rows(spark, rules, _SCHEMA)
+    return literal_rows(spark, rules, _TYPES)
 
 
 def host(url: Column) -> Column:
