@@ -66,14 +66,15 @@ def cell_sizes(rows: int, shards: int, blocks: int) -> np.ndarray:
     return np.array([n // blocks + (b < n % blocks) for n in shard.tolist() for b in range(blocks)], dtype=np.int64)
 
 
-def shard(docs: DataFrame, shards: int, seed: int = 0, rows_per_block: int = 20_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int, seed: int = 0, rows_per_block: int = 8_000) -> DataFrame:
     """docs with shard int and slot long (gapless from 0 in each shard), in a uniformly random order.
 
     Shards differ by one row at most. docs must come straight from files or a stored table, so that a
     partition holds the same rows in the same order whenever it is read; a partition whose row count
     changes stops the job. Rows take no part with their values: nulls, equal rows and empty texts are
     rows like any other, and an empty table gives an empty result. Columns named shard or slot are
-    replaced. The driver holds one count for each input partition and cell.
+    replaced. The driver holds one count for each input partition and cell. A cell
+    is one task of the exchange, so ``rows_per_block`` should be as many rows as a task can sort.
     """
     docs = docs.drop("shard", "slot", "_cell", "_key", "_at")
     counted = docs.groupBy(F.spark_partition_id().alias("p")).count().collect()
@@ -103,7 +104,7 @@ def shard(docs: DataFrame, shards: int, seed: int = 0, rows_per_block: int = 20_
         if order is not None and done != len(order):
             raise RuntimeError(f"partition {p} changed while it was sharded")
 
-    dealt = docs.mapInArrow(deal, schema)
+    dealt = docs.mapInArrow(deal, schema).repartitionById(len(capacities), F.col("_cell"))
     place = F.row_number().over(Window.partitionBy("_cell").orderBy("_key", "_at")) - 1
     shard_no = F.floor(F.col("_cell") / blocks).cast("int")
     size = F.lit(rows // shards) + F.when(shard_no < rows % shards, 1).otherwise(0)
