@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+#: The paths given out by shared_path, in order.
+made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver share: spark.checkpoint.dir.
 
@@ -26,4 +30,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver's JVM ends."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return path.toString()
+    made.append(path.toString())
+    return made[-1]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete paths that nothing reads any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
