@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog import folders
 from tidelog.llm import decontaminate, line_dedup, near_dedup, packing, quality
 from tidelog.llm.shared import stored
 
@@ -47,7 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. What a stage stored on its way goes once its result is stored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        before = len(folders.made)
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        folders.remove(spark, folders.made[before:-1])
     return docs
