@@ -30,7 +30,7 @@ from tidelog.llm.shared import small, small_batches, stored
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 4
 #: Rounds in which the texts of a bucket, and then those under a shingle, meet one of them.
-PIVOTS, HUBS = 2, 3
+PIVOTS, HUBS = 1, 2
 #: Width of the hashed table of document frequencies; its counts are off by some documents in TABLE / shingles a document.
 TABLE = 1 << 18
 DAMPING = 0.1
@@ -278,20 +278,37 @@ def similar(pairs: DataFrame, held: DataFrame, threshold: float = THRESHOLD) ->
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, class_id): for each end of an edge (a, b) the smallest doc_id that it is linked to.
 
-    Labels spread over the edges and then jump to their own label's label, until none changes.
+    Each turn takes the least label next to a document, and then that label's own least label, until
+    none changes.
     """
-    edges = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(edges.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("a"), F.min("b")).alias("class_id")), "labels")
+    back, selves = edges.select(F.col("b").alias("a"), F.col("a").alias("b")), edges.select("a", F.col("a").alias("b"))
+    edges = edges.unionByName(back).unionByName(selves).unionByName(back.select("a", F.col("a").alias("b")))
+    edges = stored(edges.distinct(), "edges")
+    labels = stored(edges.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("class_id")), "labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("doc_id", "b"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("class_id").alias("near"))
-        lower = labels.join(near, "doc_id").select("doc_id", F.col("class_id").alias("old"), F.least("class_id", "near").alias("up"))
-        jump = labels.select(F.col("doc_id").alias("up"), F.col("class_id").alias("far"))
-        moved = stored(lower.join(jump, "up", "left").select("doc_id", "old", F.least("up", F.coalesce("far", "up")).alias("class_id")), "labels")
+        own = F.max(F.when(F.col("a") == F.col("b"), F.col("class_id"))).alias("old")
+        near = edges.join(labels.withColumnRenamed("doc_id", "b"), "b").groupBy("a").agg(F.min("class_id").alias("up"), own)
+        jump = near.select(F.col("a").alias("up"), F.col("up").alias("far"))
+        moved = stored(near.join(jump, "up").select(F.col("a").alias("doc_id"), "old", F.least("up", "far").alias("class_id")), "labels")
         labels = moved.select("doc_id", "class_id")
         if moved.where("old <> class_id").isEmpty():
             return labels
 
 
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels after new links (a, b), whose components are sought among the classes only."""
+    if labels is None:
+        return components(links)
+    ends = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).distinct()
+    from_a = _classed(links.withColumnRenamed("a", "doc_id"), labels).select(F.col("class_id").alias("a"), F.col("b").alias("doc_id"))
+    between = stored(_classed(from_a, labels).select("a", F.col("class_id").alias("b")).where("a <> b").distinct(), "links")
+    if between.isEmpty():
+        return labels
+    after = components(between).select(F.col("doc_id").alias("class_id"), F.col("class_id").alias("into"))
+    known = labels.unionByName(_classed(ends.join(labels, "doc_id", "left_anti"), None))
+    return stored(known.join(after, "class_id", "left").select("doc_id", F.coalesce("into", "class_id").alias("class_id")), "labels")
+
+
 def _classed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Rows with a doc_id, and its present class."""
     if labels is None:
@@ -367,13 +384,11 @@ def prefix_pairs(posts: DataFrame, threshold: float) -> DataFrame:
 
 def _rounds(members: DataFrame, held: DataFrame, frequencies: np.ndarray, threshold: float) -> DataFrame | None:
     """(doc_id, class_id) of what links between members of common buckets (key, doc_id) connect."""
-    links, labels = None, None
+    labels = None
 
     def verify(pairs: DataFrame) -> None:
-        nonlocal links, labels
-        found = similar(stored(pairs, "pairs"), held, threshold)
-        links = stored(found if links is None else links.unionByName(found), "links")
-        labels = components(links)
+        nonlocal labels
+        labels = _merged(labels, stored(similar(stored(pairs, "pairs"), held, threshold), "links"))
 
     def open_buckets(turn: int) -> DataFrame:
         now = _classed(members, labels)
