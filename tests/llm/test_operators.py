@@ -253,6 +253,12 @@ def test_packing_of_edges(spark, edges, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_knows_the_added_token(spark):
+    added = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", "x  <|endoftext|>  y", "<|endoftext", PROSE + "<|endoftext|>" * 1500]
+    rows = list(enumerate(added))
+    check_packing(rows, packing.pack_documents(docs_of(spark, rows)).collect())
+
+
 def test_packing_of_the_table(documents):
     out = packing.pack_documents(documents).collect()
     used = check_packing(texts(documents), out)

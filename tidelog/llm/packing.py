@@ -27,6 +27,8 @@ CAPACITY, END_ID = 1024, 2
 PIECES_PER_BLOCK = 100_000
 #: Groups of large lengths, the greatest small length, and the room above which a sequence is dissolved.
 GROUPS, SMALL, ROOM = 512, 200, 2
+#: byte_bpe_50k.json's added token, which its library finds in any text before the merges.
+ADDED = {"<|endoftext|>": 50256}
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -39,13 +41,14 @@ def default_tokenizer() -> str:
 
 @functools.cache
 def _encoding(path: str):
-    """The byte-level BPE of a file of ranks, once in each Python worker; it has no special tokens."""
+    """The byte-level BPE of a file of ranks, once in each Python worker; only the default one has an added token."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = ADDED if path == default_tokenizer() else {}
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -62,7 +65,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0), batch.column(1)):
-                raw = encoding.encode_to_numpy(text.as_py() or "").astype("<u4", copy=False).tobytes() + end
+                raw = encoding.encode_to_numpy(text.as_py() or "", allowed_special="all").astype("<u4", copy=False).tobytes() + end
                 n, at = len(raw) // 4, 0
                 size = n % capacity or capacity
                 while at < n:
