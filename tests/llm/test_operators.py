@@ -125,6 +125,27 @@ def test_contamination_of_edges(spark, edges, none):
     assert kept.columns == once.columns and {r["doc_id"] for r in kept.collect()} == {4, 5, 6, 7, 11, 12, 13, 14, 15}
 
 
+def test_items_that_share_an_id_are_each_found(spark):
+    items = spark.createDataFrame([(1, PROSE), (1, OTHER), (2, "one two"), (2, "three four"), (3, "nowhere found")], "item_id long, text string")
+    docs = docs_of(spark, [(1, PROSE), (2, OTHER), (3, "so three four"), (4, f"one two {PROSE} {OTHER}"), (5, "clean")])
+    check_contamination(docs, items)
+    assert {r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()} == {5}
+
+
+def test_null_ids_are_found(spark):
+    items = spark.createDataFrame([(None, PROSE), (None, "one two"), (7, OTHER)], "item_id long, text string")
+    docs = docs_of(spark, [(1, f"{PROSE} {OTHER}"), (None, "clean"), (None, PROSE), (None, PROSE), (None, OTHER), (None, None), (None, ""), (2, None), (3, "one two")])
+    out = decontaminate.contamination(docs, items).collect()
+    n = len(brute.words(PROSE))
+    m = len(brute.words(OTHER))
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in out) == Counter([
+        (1, n + m, n + m, 2, sha("7")), (None, 1, 0, 0, sha("")), (None, n, n, 1, sha("")), (None, n, n, 1, sha("")), (None, m, m, 1, sha("7")),
+        (None, 0, 0, 0, sha("")), (None, 0, 0, 0, sha("")), (2, 0, 0, 0, sha("")), (3, 2, 2, 1, sha("")),
+    ])
+    kept = decontaminate.decontaminate(docs, items)
+    assert Counter(texts(kept)) == Counter([(None, "clean"), (None, None), (None, ""), (2, None)])
+
+
 def test_contamination_of_the_tables(spark, sf, documents):
     check_contamination(documents, spark.read.parquet(f"{sf}/benchmark.parquet"))
 

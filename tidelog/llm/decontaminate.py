@@ -31,56 +31,59 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def test_windows(items: DataFrame, size: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, first, words): each run of ``size`` words of an item; a shorter item is one window."""
+    """(item, item_id, first, words): each run of ``size`` words of an item; a shorter item is one window.
+
+    ``item`` numbers the stored rows of (item_id, words), as texts may share an item_id and it may be null.
+    """
     w = items.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0).distinct()
+    w = stored(w.withColumn("item", F.monotonically_increasing_id()), "items")
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))
-    return w.select("item_id", F.explode(starts).alias("first"), "w").select(
-        "item_id", "first", F.slice("w", F.col("first") + 1, size).alias("words")
+    return w.select("item", "item_id", F.explode(starts).alias("first"), "w").select(
+        "item", "item_id", "first", F.slice("w", F.col("first") + 1, size).alias("words")
     )
 
 
 def _rarest(windows: DataFrame, index: DataFrame, keep: int) -> DataFrame:
-    """(item_id, first, at, term, rank) of each window's ``keep`` rarest terms over the whole index.
+    """(item, first, at, term, rank) of each window's ``keep`` rarest terms over the whole index.
 
     A window with a term that no document has can't occur, so it has no rows.
     """
-    placed = windows.select("item_id", "first", F.size("words").alias("size"), F.posexplode("words").alias("off", "word"))
-    placed = placed.select("item_id", "first", "size", (F.col("first") + F.col("off")).alias("at"), term_of(F.col("word")).alias("term"))
+    placed = windows.select("item", "first", F.size("words").alias("size"), F.posexplode("words").alias("off", "word"))
+    placed = placed.select("item", "first", "size", (F.col("first") + F.col("off")).alias("at"), term_of(F.col("word")).alias("term"))
     terms = stored(placed.select("term").distinct(), "terms")
     counts = index.select("term").join(small(terms, terms.count()), "term").groupBy("term").agg(F.count("*").alias("df"))
     known = placed.join(counts, "term")
-    by_window = Window.partitionBy("item_id", "first")
+    by_window = Window.partitionBy("item", "first")
     ranked = known.withColumn("found", F.count("*").over(by_window)).where("found = size")
     ranked = ranked.withColumn("rank", F.row_number().over(by_window.orderBy("df", "at")))
-    return ranked.where(F.col("rank") <= keep).select("item_id", "first", "at", "term", "rank", "size")
+    return ranked.where(F.col("rank") <= keep).select("item", "first", "at", "term", "rank", "size")
 
 
 def phrase_candidates(index: DataFrame, windows: DataFrame) -> DataFrame:
-    """(item_id, first, doc_id, start): where the two rarest terms of a window stand as in the window."""
+    """(item, first, doc_id, start): where the two rarest terms of a window stand as in the window."""
     rare = stored(_rarest(windows, index, 2), "rarest")
-    seeds = stored(rare.select("item_id", "at", "term").distinct(), "seeds")
+    seeds = stored(rare.select("item", "at", "term").distinct(), "seeds")
     lists = index.join(small(seeds, seeds.count()), "term").select(
-        "item_id", "doc_id", (F.col("pos") - F.col("at")).alias("diagonal"), "at"
+        "item", "doc_id", (F.col("pos") - F.col("at")).alias("diagonal"), "at"
     )
     lists = stored(lists, "lists")
-    first = rare.where("rank = 1").select("item_id", "first", "size", F.col("at").alias("at1"))
-    second = rare.where("rank = 2").select("item_id", "first", F.col("at").alias("at2"))
-    wanted = first.join(second, ["item_id", "first"], "left")
-    a = lists.join(wanted.withColumnRenamed("at1", "at"), ["item_id", "at"]).where(F.col("diagonal") + F.col("first") >= 0)
+    first = rare.where("rank = 1").select("item", "first", "size", F.col("at").alias("at1"))
+    second = rare.where("rank = 2").select("item", "first", F.col("at").alias("at2"))
+    wanted = first.join(second, ["item", "first"], "left")
+    a = lists.join(wanted.withColumnRenamed("at1", "at"), ["item", "at"]).where(F.col("diagonal") + F.col("first") >= 0)
     lone = a.where("at2 is null")
     b = lists.withColumnRenamed("at", "at2")
-    both = a.where("at2 is not null").join(b, ["item_id", "doc_id", "diagonal", "at2"], "left_semi")
-    cols = ["item_id", "first", "doc_id", (F.col("diagonal") + F.col("first")).alias("start")]
+    both = a.where("at2 is not null").join(b, ["item", "doc_id", "diagonal", "at2"], "left_semi")
+    cols = ["item", "first", "doc_id", (F.col("diagonal") + F.col("first")).alias("start")]
     return lone.select(*cols).unionByName(both.select(*cols)).distinct()
 
 
 def phrase_hits(docs: DataFrame, index: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, hits): the exact occurrences of the windows, as structs (start, size, item_id).
+    """(doc_id, hits): the exact occurrences of the windows (stored), as structs (start, size, item_id).
 
     The candidates of one document are bounded by its words and the windows they stand in.
     """
-    windows = stored(windows, "windows")
-    found = phrase_candidates(index, windows).join(windows, ["item_id", "first"])
+    found = phrase_candidates(index, windows).join(windows, ["item", "first"])
     found = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "item_id", "words")).alias("found"))
     found = stored(found, "candidates")
     texts = docs.select("doc_id", "text").join(small(found.select("doc_id"), found.count()), "doc_id", "left_semi")
@@ -92,18 +95,39 @@ def phrase_hits(docs: DataFrame, index: DataFrame, windows: DataFrame) -> DataFr
     return texts.join(found, "doc_id").select("doc_id", hits.alias("hits")).where(F.size("hits") > 0)
 
 
+def _nameless(docs: DataFrame) -> DataFrame | None:
+    """(doc_id, text): the texts of documents whose doc_id is null, each numbered once; None if there are none."""
+    found = docs.where("doc_id is null and text is not null")
+    if found.select("doc_id").isEmpty():
+        return None
+    return stored(found.select("text").distinct().select(F.monotonically_increasing_id().alias("doc_id"), "text"), "nameless")
+
+
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """A row for each document: n_words, n_hit, n_items, items_sha256, contaminated.
 
-    A null or empty text has no words and no hits; a null item is never found. Equal rows give equal
-    rows; rows that share a doc_id but differ in text share the hits of either. Other columns of both
-    tables are left aside.
+    A null or empty text has no words and no hits; an item without words is never found. Equal rows give
+    equal rows; rows that share a doc_id but differ in text share the hits of either, except that a row
+    whose doc_id is null has the hits of its own text. Items that share an item_id but differ in text are
+    each found and count as one item; a null item_id counts as an item and adds no name to items_sha256.
+    Other columns of both tables are left aside.
     """
     docs = docs.select("doc_id", "text")
+    windows = stored(test_windows(items, size), "windows")
+    each = _contamination(docs.where("doc_id is not null or text is null"), windows)
+    nameless = _nameless(docs)
+    if nameless is None:
+        return each
+    numbered = docs.where("doc_id is null").select("text").join(nameless, "text")
+    rest = _contamination(numbered.select("doc_id", "text"), windows)
+    return each.unionByName(rest.withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType)))
+
+
+def _contamination(docs: DataFrame, windows: DataFrame) -> DataFrame:
     index = build_index(docs)
-    hits = phrase_hits(docs, index, test_windows(items, size))
+    hits = phrase_hits(docs, index, windows)
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1))))
-    names = F.array_sort(F.array_distinct(F.transform("hits", lambda h: F.coalesce(h["item_id"].cast("string"), F.lit("")))))
+    names = F.array_distinct(F.transform("hits", lambda h: h["item_id"].cast("string")))
     hits = hits.select("doc_id", F.size(covered).alias("n_hit"), names.alias("items")).groupBy("doc_id").agg(
         F.max("n_hit").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
@@ -123,11 +147,22 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The documents without those that hold a window of an item; null and empty texts stay."""
+    """The documents without those that hold a window of an item; null and empty texts stay.
+
+    Rows that share a doc_id go together; a row whose doc_id is null goes by its own text.
+    """
     narrow = docs.select("doc_id", "text")
-    bad = phrase_hits(narrow, build_index(narrow), test_windows(items, size)).select("doc_id").distinct()
-    bad = stored(bad, "contaminated")
-    return docs.join(small(bad, bad.count()), "doc_id", "left_anti").select(*docs.columns)
+    windows = stored(test_windows(items, size), "windows")
+    named = narrow.where("doc_id is not null")
+    bad = stored(phrase_hits(named, build_index(named), windows).select("doc_id").distinct(), "contaminated")
+    kept = docs.join(small(bad, bad.count()), "doc_id", "left_anti").select(*docs.columns)
+    nameless = _nameless(narrow)
+    if nameless is None:
+        return kept
+    found = phrase_hits(nameless, build_index(nameless), windows).select("doc_id").distinct()
+    texts = nameless.join(found, "doc_id", "left_semi").select("text")
+    rest = docs.where("doc_id is null").join(texts, "text", "left_anti").select(*docs.columns)
+    return kept.where("doc_id is not null").unionByName(rest)
 
 
 def proximity_matches(index: DataFrame, queries: DataFrame, slop: int) -> DataFrame:
