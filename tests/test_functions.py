@@ -72,6 +72,25 @@ def test_codec_sizes(spark):
     assert found == want
 
 
+def test_codec_sizes_need_no_task_for_a_bucket_or_a_key(spark):
+    rows = [(k % 2, k, 1000 - i, i % 7) for k in range(40) for i in range(1 + 300 * (k == 5))]
+    out = bits.codec_bits(spark.createDataFrame(rows, "bucket long, suffix long, pv long, id long"), ["bucket"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(bucket" not in plan
+    gamma, zig = (lambda n: 2 * (n.bit_length() - 1) + 1), (lambda v: 2 * v if v >= 0 else -2 * v - 1)
+    want = {}
+    for b in (0, 1):
+        shared, firsts, n_keys, before = 16, 0, 0, None
+        for k in range(b, 40, 2):
+            held = [(pv, i) for _, s, pv, i in rows if s == k]
+            shared += gamma(len(held)) + sum(gamma(p - q + 1) + gamma(zig(j - i) + 1) for (p, i), (q, j) in zip(held, held[1:]))
+            shared += 44 if before is None else gamma(k - before[0] + 1)
+            firsts += 96 if before is None else gamma(zig(held[0][0] - before[1]) + 1) + gamma(zig(held[0][1] - before[2]) + 1)
+            before, n_keys = (k, *held[0]), n_keys + 1
+        want[b] = (shared + 96 * n_keys, shared + firsts)
+    assert {r["bucket"]: (r["bits_row"], r["bits_columnar"]) for r in out.collect()} == want
+
+
 def test_keys_and_values(spark):
     assert one(spark, workload.make_key(F.lit(42).cast("long"))) == "0000000000000042"
     h, letters = 5 * workload.VALUE_START & M, ""

@@ -166,6 +166,13 @@ def test_replay_after_compaction_whose_inputs_are_still_there(spark):
     assert got(C.replayed(moved, 2, point), "key", "version", "segment_id") == got(index, "key", "version", "segment_id")
 
 
+def test_versions_by_key_gathers_no_lists(spark):
+    log = log_of(spark, [("a", 1, False, "x"), ("a", 3, True, None), ("a", 2, False, "y"), ("b", 5, True, None)])
+    out = R.versions_by_key(log)
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert got(out, "key", "n_versions", "newest", "oldest") == [("a", 3, 3, 1), ("b", 1, 5, 5)]
+
+
 def test_dead_ratio(spark):
     log = log_of(spark, [("a", 1, False, ""), ("a", 2, False, ""), ("b", 3, False, ""), ("c", 4, False, "")])
     assert C.dead_ratio(log).first()[0] == pytest.approx(1 / 3)

@@ -6,10 +6,14 @@ whose partial products fit (``wrapping_mul``).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidelog.folders import shared_path
+
 _MASK32 = 0xFFFFFFFF
 #: Constants of 64-bit FNV-1a and of its finishing mix.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -98,21 +102,37 @@ def gamma_bits(n: Column) -> Column:
     return 2 * (F.length(F.bin(n)) - 1) + 1
 
 
+def _with_before(rows: DataFrame, by: list[str], order: list, names: list[str]) -> DataFrame:
+    """rows with ``<name>_before`` of the row before in the group ``by``, null in the group's first row.
+
+    All rows are dealt by ranges of (by, order) and stored, so a group may span tasks; the first row of
+    a range takes what is before it from the last row of the range before.
+    """
+    spark, held = rows.sparkSession, F.struct(*by, *names)
+    path = shared_path(spark, "ordered")
+    rows.orderBy(*by, *order).withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)).write.parquet(path)
+    placed = spark.read.parquet(path)
+    lasts = placed.groupBy("_part").agg(F.max_by(held, "_id").alias("_last"))
+    lasts = lasts.withColumn("_last", F.lag("_last").over(Window.orderBy("_part")))
+    inside = F.lag(held).over(Window.partitionBy("_part").orderBy("_id"))
+    each = placed.join(F.broadcast(lasts), "_part").withColumn("_prev", F.coalesce(inside, F.col("_last")))
+    same = reduce(lambda a, b: a & b, [F.col("_prev")[c].eqNullSafe(F.col(c)) for c in by])
+    return each.withColumns({f"{n}_before": F.when(same, F.col("_prev")[n]) for n in names}).drop("_id", "_part", "_last", "_prev")
+
+
 def codec_bits(index: DataFrame, by: list[str], suffix_bits: int = 44) -> DataFrame:
     """by, bits_row, bits_columnar: the encoded sizes of buckets of entries (suffix, pv, id).
 
     Both layouts share 16 bits, the suffixes, the version counts and the tails; the row layout spends 96
     bits on each key's first version and id, the columnar one only on the bucket's first and deltas after.
     """
-    in_key = Window.partitionBy(*by, "suffix").orderBy(F.desc("pv"))
-    rows = index.withColumns({"rank": F.row_number().over(in_key), "pv_before": F.lag("pv").over(in_key), "id_before": F.lag("id").over(in_key)})
+    rows = _with_before(index, [*by, "suffix"], [F.desc("pv")], ["pv", "id"])
     tail = gamma_bits(F.col("pv_before") - F.col("pv") + 1) + gamma_bits(zigzag(F.col("id") - F.col("id_before")) + 1)
     keys = rows.groupBy(*by, "suffix").agg(
         F.count("*").alias("n"), F.sum(F.coalesce(tail, F.lit(0))).alias("tails"),
-        F.max(F.when(F.col("rank") == 1, F.col("pv"))).alias("pv"), F.max(F.when(F.col("rank") == 1, F.col("id"))).alias("id"),
+        F.max(F.when(F.col("pv_before").isNull(), F.col("pv"))).alias("pv"), F.max(F.when(F.col("pv_before").isNull(), F.col("id"))).alias("id"),
     )
-    in_bucket = Window.partitionBy(*by).orderBy("suffix")
-    keys = keys.withColumns({f"{c}_before": F.lag(c).over(in_bucket) for c in ("suffix", "pv", "id")})
+    keys = _with_before(keys, by, ["suffix"], ["suffix", "pv", "id"])
     delta = lambda c: zigzag(F.col(c) - F.col(f"{c}_before")) + 1
     suffixes = F.coalesce(gamma_bits(F.col("suffix") - F.col("suffix_before") + 1), F.lit(suffix_bits))
     shared = F.sum(suffixes + gamma_bits(F.col("n")) + F.col("tails")) + 16

@@ -102,8 +102,8 @@ def history(log: DataFrame, as_of: int | None = None) -> DataFrame:
 
 
 def versions_by_key(log: DataFrame) -> DataFrame:
-    """(key, versions): each key's versions in descending order, in one row."""
-    return log.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct(VERSION, TOMBSTONE)), asc=False).alias("versions"))
+    """(key, n_versions, newest, oldest); the versions themselves are the rows of ``history``."""
+    return log.groupBy(KEY).agg(F.count("*").alias("n_versions"), F.max(VERSION).alias("newest"), F.min(VERSION).alias("oldest"))
 
 
 def tombstoned(log: DataFrame, as_of: int | None = None) -> DataFrame:

@@ -84,8 +84,7 @@ def version_history(spark, sf_dir):
 
 @query
 def versions_by_key(spark, sf_dir):
-    each = R.versions_by_key(events_log(spark, sf_dir))
-    return each.select(KEY, F.size("versions").cast("long").alias("n_versions"), F.col("versions")[0][VERSION].alias("newest"), F.element_at("versions", -1)[VERSION].alias("oldest"))
+    return R.versions_by_key(events_log(spark, sf_dir))
 
 
 @query
