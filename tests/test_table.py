@@ -126,6 +126,16 @@ def test_maybe_compact_goes_by_the_threshold(spark, path):
     assert t.maybe_compact() is None
 
 
+@pytest.mark.parametrize("policy", ["highest_dead_ratio", "most_dead_entries"])
+def test_maintain_takes_the_segments_with_dead_rows(spark, path, policy):
+    t = new(spark, path, gc_threshold=0.1, gc_max_segments=2, gc_policy=policy)
+    for row in (("a", "1"), ("b", "1"), ("c", "1"), ("c", "2"), ("c", "3")):
+        t.write(ops(spark, (row[0], False, row[1])))
+    t.maintain()
+    assert sorted(s["id"] for s in t.state["segments"]) == [1, 2, 5, 6]
+    assert sorted((r["key"], r["value"]) for r in t.scan().collect()) == [("a", "1"), ("b", "1"), ("c", "3")]
+
+
 def test_flush_prunes_waiting_rows(spark, path):
     t = new(spark, path)
     for i in range(5):

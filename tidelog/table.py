@@ -244,9 +244,11 @@ class Table:
         return {"inputs": inputs, "written": written, "eliminated": total - written}
 
     def maybe_compact(self) -> dict | None:
-        """compact() if the policy isn't manual and the dead ratio is above the threshold."""
+        """compact() if the policy isn't manual and the dead ratio is above the threshold; dead rows are counted anew."""
         if self.options["gc_policy"] == "manual" or self.dead_ratio() <= self.options["gc_threshold"]:
             return None
+        if self.options["gc_policy"] != "oldest_first":
+            self.refresh_dead_counts()
         return self.compact()
 
     def refresh_dead_counts(self) -> None:
