@@ -405,6 +405,73 @@ def test_a_large_group_of_near_copies_holds_together(spark):
     assert {found[d] for d in range(400)} == {0} and all(found[1000 + d] == 1000 + d for d in range(100))
 
 
+def edited(rng, n, edits, length=200):
+    """n copies of one text, each with some words of its own in random places."""
+    base, rows = [f"b{i}" for i in range(length)], []
+    for d in range(n):
+        words = list(base)
+        for at in rng.choice(length, edits, replace=False):
+            words[at] = f"edit{d}x{at}"
+        rows.append((d, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize(("edits", "n", "most"), [(3, 150, 8), (5, 400, 5)])
+def test_pairs_compared_in_a_group_of_near_copies(spark, monkeypatch, edits, n, most):
+    """Four times the texts make at most five times the pairs; more only where most pairs lie just under the threshold."""
+    compared, plain = [], near_dedup.similar
+
+    def counting(pairs, held, threshold):
+        compared[-1] += pairs.count()
+        return plain(pairs, held, threshold)
+
+    monkeypatch.setattr(near_dedup, "similar", counting)
+    for size in (n, 4 * n):
+        compared.append(0)
+        rows = edited(np.random.default_rng(7), size, edits)
+        found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs_of(spark, rows)).collect()}
+        if size == n:
+            check_classes(rows, found)
+    assert compared[1] <= most * compared[0], compared
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    words = [f"w{i}" for i in range(300_000)]
+    half = words[:225_000] + [f"o{i}" for i in range(75_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(half)), (3, " ".join(words[:-20_000])), (4, " ".join(half[20_000:]))]
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs_of(spark, rows)).collect()} == {1: 1, 2: 2, 3: 1, 4: 2}
+
+
+def test_rows_that_share_a_doc_id_have_the_links_of_all_their_texts(spark):
+    rows = [(1, PROSE), (2, PROSE), (2, OTHER), (3, OTHER + " again"), (4, OTHER + " again"), (5, "something else altogether in here"), (6, PROSE[:40]), (6, LONG)]
+    found = sorted((r["doc_id"], r["class_id"]) for r in near_dedup.near_duplicates(docs_of(spark, rows)).collect())
+    assert found == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 6), (6, 6)]
+
+
+def test_recall_of_near_copies(spark, documents):
+    """Every pair of different texts whose plain Jaccard similarity is 0.8 or more, over copies planted at many distances too."""
+    rng, rows = np.random.default_rng(11), texts(documents)
+    longer = [(d, t) for d, t in rows if t and len(t.split()) > 60][:80]
+    for i, (_, t) in enumerate(longer):
+        words = t.split(" ")
+        for at in rng.choice(len(words), max(1, round(len(words) * (0.002 + 0.02 * (i % 10) / 10))), replace=False):
+            words[at] = f"edit{i}x{at}"
+        rows.append((100_000 + i, " ".join(words)))
+    links, _ = brute.classes(rows, 0.8, 0.0)
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs_of(spark, rows)).collect()}
+    caught = sum(found[a] == found[b] for a, b in links)
+    assert len(links) > 80 and caught >= 0.98 * len(links), (caught, len(links))
+
+
+@pytest.mark.parametrize("links", [[], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 60)], [(9, i) for i in range(9)] + [(20, 21), (22, 21), (23, 22), (24, 24)]])
+def test_components(spark, links):
+    out = near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()
+    want = brute.connected({x for p in links for x in p}, links)
+    groups = lambda of: {frozenset(x for x in of if of[x] == c) for c in of.values()}
+    found = {r["uid"]: r["class_uid"] for r in out}
+    assert groups(found) == {g for g in groups(want) if len(g) > 1}
+
+
 def test_sampling_agrees_as_often_as_the_weighted_similarity():
     rng, agreed = np.random.default_rng(2), []
     sampler = near_dedup._Sampler.get()

@@ -3,13 +3,13 @@
 1. ``shingle_frequencies``: how many documents hold each shingle, in a hashed table of fixed size.
 2. ``sketch``: each text's shingles get the weight (1 + ln tf) * idf, and K samples are drawn by
    improved consistent weighted sampling; R samples make a band key.
-3. Equal texts are one class from the start; only their smallest doc_id goes on.
+3. Equal texts are one class from the start; one row of each goes on.
 4. ``_rounds``: the members of a band's bucket meet a pivot of the bucket, the pairs are verified by
    the weighted Jaccard similarity of the whole texts, and verified pairs merge classes.
 5. The texts of buckets that still hold several classes are joined exactly: two of them that are
-   similar share one of their rarest shingles (``prefixes``), and weights bound what else they can
-   share (``_meeting``, ``prefix_pairs``). So no link between them is lost, and a large group of near copies, most
-   of whose pairs differ by their own edits, costs pairs in proportion and not by its square.
+   similar share one of their rarest shingles (``prefixes``), and weights, also summed by cells, bound
+   what else they can share (``_meeting``, ``prefix_pairs``). So no link between them is lost, and of a large
+   group of near copies, each with edits of its own, few pairs are compared.
 
 The idf is damped to between 1 - DAMPING and 1. Undamped, the shingles of a large group of near copies
 would weigh so much less than each copy's own edits that the group would fall apart.
@@ -18,17 +18,17 @@ would weigh so much less than each copy's own edits that the group would fall ap
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidelog.llm.shared import small, small_batches, stored
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 10, 4
+BANDS, ROWS = 16, 4
 #: Rounds in which the texts of a bucket, and then those under a shingle, meet one of them.
 PIVOTS, HUBS = 1, 2
 #: Width of the hashed table of document frequencies; its counts are off by some documents in TABLE / shingles a document.
@@ -41,6 +41,9 @@ _U = np.uint64
 _STEP, _LEVELS = 0.02, 160
 _SCALE = 1 << 20
 _CHUNK = 1 << 20
+#: Cells over which a text's weights are summed to bound what two texts share, and posts made at once.
+CELLS, _POSTS = 64, 4096
+_CELL_NAMES = [f"c{i}" for i in range(CELLS)]
 
 _fold = np.zeros(256, dtype=np.uint8)
 for _b in (*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)):
@@ -236,19 +239,23 @@ def sketch(docs: DataFrame, idf: np.ndarray) -> DataFrame:
 
 
 def features(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(doc_id, found, weight): each text's different shingles in order, and their weights, as bytes."""
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    """(doc_id, digest, found, weight): each text's different shingles in order, and their weights, as bytes."""
+    import xxhash
+
+    shared = docs.sparkSession.sparkContext.broadcast(idf)  # TABLE doubles, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, n, data, ends in _chunks(batch, 1):
+                texts, bounds = memoryview(data), [0, *ends.tolist()]
+                digests = pa.array([xxhash.xxh3_128_digest(texts[a:b]) for a, b in zip(bounds, bounds[1:])], pa.binary())
                 of, found, times = counted(*shingles(data, ends))
                 w = weights(found, times, shared.value).astype(np.float32)
                 cut = np.searchsorted(of, np.arange(n + 1)).tolist()
                 raw = [pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()) for x in (found, w)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), *raw], names=["doc_id", "found", "weight"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), digests, *raw], names=["doc_id", "digest", "found", "weight"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, found binary, weight binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, found binary, weight binary")
 
 
 def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -261,8 +268,8 @@ def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarra
 
 def similar(pairs: DataFrame, held: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity, over features held, is at least threshold."""
-    left = held.select(F.col("doc_id").alias("a"), F.col("found").alias("fa"), F.col("weight").alias("wa"))
-    right = held.select(F.col("doc_id").alias("b"), F.col("found").alias("fb"), F.col("weight").alias("wb"))
+    left = held.select(F.col("uid").alias("a"), F.col("found").alias("fa"), F.col("weight").alias("wa"))
+    right = held.select(F.col("uid").alias("b"), F.col("found").alias("fb"), F.col("weight").alias("wb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,73 +282,94 @@ def similar(pairs: DataFrame, held: DataFrame, threshold: float = THRESHOLD) ->
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(doc_id, class_id): for each end of an edge (a, b) the smallest doc_id that it is linked to.
+def components(links: DataFrame) -> DataFrame:
+    """(uid, class_uid): for each end of a link (a, b) the one node that stands for its component.
 
-    Each turn takes the least label next to a document, and then that label's own least label, until
-    none changes.
+    Each turn every node goes over to the neighbour of the least hash, itself included; links between
+    the nodes that are left go on. A star needs two turns, and a chain loses a part of its nodes in each.
     """
-    back, selves = edges.select(F.col("b").alias("a"), F.col("a").alias("b")), edges.select("a", F.col("a").alias("b"))
-    edges = edges.unionByName(back).unionByName(selves).unionByName(back.select("a", F.col("a").alias("b")))
-    edges = stored(edges.distinct(), "edges")
-    labels = stored(edges.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("class_id")), "labels")
-    while True:
-        own = F.max(F.when(F.col("a") == F.col("b"), F.col("class_id"))).alias("old")
-        near = edges.join(labels.withColumnRenamed("doc_id", "b"), "b").groupBy("a").agg(F.min("class_id").alias("up"), own)
-        jump = near.select(F.col("a").alias("up"), F.col("up").alias("far"))
-        moved = stored(near.join(jump, "up").select(F.col("a").alias("doc_id"), "old", F.least("up", "far").alias("class_id")), "labels")
-        labels = moved.select("doc_id", "class_id")
-        if moved.where("old <> class_id").isEmpty():
-            return labels
+    links = stored(links.select(*_ordered("a", "b")).where("a <> b").distinct(), "edges")
+    labels, turn = None, 0
+    while not links.isEmpty():
+        both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("uid"))
+        least = F.least(F.min(rank("b")), F.min(rank("a")))["uid"]
+        step = stored(both.groupBy("a").agg(least.alias("to")), "steps")
+        to = [step.select(F.col("a").alias(c), F.col("to").alias(f"{c}_to")) for c in "ab"]
+        moved = links.join(to[0], "a").join(to[1], "b").where("a_to <> b_to")
+        if labels is None:
+            labels = step.select(F.col("a").alias("uid"), F.col("to").alias("class_uid"))
+        else:
+            on = step.select(F.col("a").alias("class_uid"), "to")
+            labels = labels.join(on, "class_uid", "left").select("uid", F.coalesce("to", "class_uid").alias("class_uid"))
+        links, turn = stored(moved.select(*_ordered("a_to", "b_to")).distinct(), "edges"), turn + 1
+        labels = stored(labels, "labels")
+    if labels is None:
+        return links.select(F.col("a").alias("uid"), F.col("b").alias("class_uid"))
+    return labels
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """labels after new links (a, b), whose components are sought among the classes only."""
     if labels is None:
         return components(links)
-    ends = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).distinct()
-    from_a = _classed(links.withColumnRenamed("a", "doc_id"), labels).select(F.col("class_id").alias("a"), F.col("b").alias("doc_id"))
-    between = stored(_classed(from_a, labels).select("a", F.col("class_id").alias("b")).where("a <> b").distinct(), "links")
+    ends = links.select(F.col("a").alias("uid")).unionByName(links.select(F.col("b").alias("uid"))).distinct()
+    from_a = _classed(links.withColumnRenamed("a", "uid"), labels).select(F.col("class_uid").alias("a"), F.col("b").alias("uid"))
+    between = stored(_classed(from_a, labels).select("a", F.col("class_uid").alias("b")).where("a <> b").distinct(), "links")
     if between.isEmpty():
         return labels
-    after = components(between).select(F.col("doc_id").alias("class_id"), F.col("class_id").alias("into"))
-    known = labels.unionByName(_classed(ends.join(labels, "doc_id", "left_anti"), None))
-    return stored(known.join(after, "class_id", "left").select("doc_id", F.coalesce("into", "class_id").alias("class_id")), "labels")
+    after = components(between).select(F.col("uid").alias("class_uid"), F.col("class_uid").alias("into"))
+    known = labels.unionByName(_classed(ends.join(labels, "uid", "left_anti"), None))
+    return stored(known.join(after, "class_uid", "left").select("uid", F.coalesce("into", "class_uid").alias("class_uid")), "labels")
 
 
 def _classed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows with a doc_id, and its present class."""
+    """Rows with a uid, and its present class."""
     if labels is None:
-        return members.withColumn("class_id", F.col("doc_id"))
-    return members.join(labels, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+        return members.withColumn("class_uid", F.col("uid"))
+    return members.join(labels, "uid", "left").withColumn("class_uid", F.coalesce("class_uid", "uid"))
+
+
+def cells(found: np.ndarray) -> np.ndarray:
+    """The one of CELLS cells that a shingle's weight is summed in, apart from the bits that order it."""
+    return ((found * _U(0xD6E8FEB86659FD93)) >> _U(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
 def prefixes(held: DataFrame, frequencies: np.ndarray, threshold: float) -> DataFrame:
-    """(doc_id, found, before, total): the shingles under which a text is looked for, rarest first.
+    """(uid, found, before, total, c0, c1 ...): the shingles under which a text is looked for, rarest first.
 
     In one order of all shingles, by frequency, a text's similar partner shares one of those that come
-    before 1 - threshold of its weight; ``before`` is the weight of the text's shingles ahead of each.
+    before 1 - threshold of its weight; ``before`` is the weight of the text's shingles ahead of each, and
+    c0, c1 ... are the weights of those from it on, summed by cell.
     """
     shared = held.sparkSession.sparkContext.broadcast(frequencies)  # TABLE longs, whatever the input
+    names = ["uid", "found", "before", "total", *_CELL_NAMES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, parts = [], []
-            for doc, f, w in zip(batch.column("doc_id").to_pylist(), batch.column("found"), batch.column("weight")):
+            for uid, f, w in zip(batch.column("uid").to_pylist(), batch.column("found"), batch.column("weight")):
                 found, weight = np.frombuffer(f.as_buffer(), np.uint64), np.frombuffer(w.as_buffer(), np.float32).astype(np.float64)
                 order = np.lexsort((found, shared.value[_bucket(found)]))
-                before = np.cumsum(weight[order]) - weight[order]
-                n = int(np.searchsorted(before, (1 - threshold) * weight.sum() + 1e-6, side="right"))
-                docs += [doc] * n
-                parts.append((found[order[:n]], before[:n], np.full(n, weight.sum())))
-            columns = [np.concatenate([p[i] for p in parts] or [np.zeros(0, kind)]) for i, kind in enumerate((np.uint64, np.float64, np.float64))]
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(columns[0].view(np.int64)), *map(pa.array, columns[1:])], names=["doc_id", "found", "before", "total"])
-
-    return held.select("doc_id", "found", "weight").mapInArrow(run, "doc_id long, found long, before double, total double")
+                found, weight, total = found[order], weight[order], weight.sum()
+                before = np.cumsum(weight) - weight
+                n, cell = int(np.searchsorted(before, (1 - threshold) * total + 1e-6, side="right")), cells(found)
+                left = np.bincount(cell, weight, CELLS)
+                for at in range(0, n, _POSTS):
+                    to = min(n, at + _POSTS)
+                    gone = np.zeros((to - at, CELLS))
+                    gone[np.arange(to - at), cell[at:to]] = weight[at:to]
+                    rest = left - (np.cumsum(gone, axis=0) - gone)
+                    left = left - gone.sum(axis=0)
+                    columns = [np.full(to - at, uid), found[at:to].view(np.int64), before[at:to], np.full(to - at, total)]
+                    sums = np.ascontiguousarray(rest.T + 1e-6, dtype=np.float32)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *map(pa.array, sums)], names=names)
+
+    kinds = "uid long, found long, before double, total double, " + ", ".join(f"{c} float" for c in _CELL_NAMES)
+    return held.select("uid", "found", "weight").mapInArrow(run, kinds)
 
 
 def _meeting(posts: DataFrame, labels: DataFrame | None, threshold: float) -> DataFrame:
-    """The posts, with class_id, under which texts of different classes can meet.
+    """The posts, with class_uid, under which texts of different classes can meet.
 
     At the first shingle that two texts share, at most what is left of either is common to both, and a
     similarity of t needs t / (1 + t) of their weights together. So a post goes if it fails even against
@@ -350,7 +378,7 @@ def _meeting(posts: DataFrame, labels: DataFrame | None, threshold: float) -> Da
     posts = _classed(posts, labels)
     share = threshold / (1 + threshold)
     for _ in range(2):
-        met = posts.groupBy("found").agg(F.min("total").alias("least"), F.min("class_id").alias("low"), F.max("class_id").alias("high"))
+        met = posts.groupBy("found").agg(F.min("total").alias("least"), F.min("class_uid").alias("low"), F.max("class_uid").alias("high"))
         posts = posts.join(met.where("low <> high").select("found", "least"), "found")
         posts = stored(posts.where(F.col("total") - F.col("before") + 1e-6 >= share * (F.col("total") + F.col("least"))).drop("least"), "posts")
     return posts
@@ -363,27 +391,30 @@ def _ordered(a: str, b: str) -> list[Column]:
 def hub_pairs(posts: DataFrame, turn: int) -> DataFrame:
     """Each text paired with one of another class under its shingle that has little of its own before it."""
     own = (F.col("before") > 0.03 * F.col("total")).alias("own")
-    hub = F.min(F.struct(own, F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "class_id")).alias("hub")
-    met = posts.join(posts.groupBy("found").agg(hub), "found").where(F.col("class_id") != F.col("hub.class_id"))
-    return met.select(*_ordered("doc_id", "hub.doc_id")).distinct()
+    hub = F.min(F.struct(own, F.xxhash64("uid", F.lit(turn)).alias("h"), "uid", "class_uid")).alias("hub")
+    met = posts.join(posts.groupBy("found").agg(hub), "found").where(F.col("class_uid") != F.col("hub.class_uid"))
+    return met.select(*_ordered("uid", "hub.uid")).distinct()
 
 
 def prefix_pairs(posts: DataFrame, threshold: float) -> DataFrame:
-    """All pairs (a, b) of different classes that can be similar, each made at the first shingle they share."""
+    """All pairs (a, b) of different classes that can be similar, each made at the first shingle they share.
+
+    What two texts have in common from a shared shingle on is at most the sum over the cells of the
+    lesser weight in each. Texts that each lack other parts of a common source fail by that sum, so a
+    large group of near copies makes few pairs although all of them meet under the same shingles. At a
+    later shared shingle the bounds only say less, so no pair is lost by them, and repeats are dropped.
+    """
     share = threshold / (1 + threshold)
-    ahead = Window.partitionBy("doc_id").orderBy("before", "found").rowsBetween(Window.unboundedPreceding, -1)
-    posts = posts.withColumn("ahead", F.collect_list("found").over(ahead))
     a, b = (posts.select(*[F.col(c).alias(f"{c}_{x}") for c in posts.columns]) for x in "ab")
+    need = share * (F.col("total_a") + F.col("total_b"))
     room = F.least(F.col("total_a") - F.col("before_a"), F.col("total_b") - F.col("before_b")) + 1e-6
-    fits = (
-        (F.col("found_a") == F.col("found_b")) & (F.col("class_id_a") < F.col("class_id_b"))
-        & (room >= share * (F.col("total_a") + F.col("total_b"))) & ~F.arrays_overlap("ahead_a", "ahead_b")
-    )
-    return a.join(b, fits).select(*_ordered("doc_id_a", "doc_id_b")).distinct()
+    common = reduce(Column.__add__, [F.least(f"{c}_a", f"{c}_b") for c in _CELL_NAMES])
+    fits = (F.col("found_a") == F.col("found_b")) & (F.col("class_uid_a") < F.col("class_uid_b")) & (room >= need) & (common >= need)
+    return a.join(b, fits).select(*_ordered("uid_a", "uid_b")).distinct()
 
 
 def _rounds(members: DataFrame, held: DataFrame, frequencies: np.ndarray, threshold: float) -> DataFrame | None:
-    """(doc_id, class_id) of what links between members of common buckets (key, doc_id) connect."""
+    """(uid, class_uid) of what links between members of common buckets (key, uid) connect."""
     labels = None
 
     def verify(pairs: DataFrame) -> None:
@@ -393,8 +424,8 @@ def _rounds(members: DataFrame, held: DataFrame, frequencies: np.ndarray, thresh
     def open_buckets(turn: int) -> DataFrame:
         now = _classed(members, labels)
         mixed = now.groupBy("key").agg(
-            F.min("class_id").alias("low"), F.max("class_id").alias("high"),
-            F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "class_id")).alias("pivot"),
+            F.min("class_uid").alias("low"), F.max("class_uid").alias("high"),
+            F.min(F.struct(F.xxhash64("uid", F.lit(turn)).alias("h"), "uid", "class_uid")).alias("pivot"),
         ).where("low <> high")
         return stored(now.join(mixed.select("key", "pivot"), "key"), "buckets")
 
@@ -402,9 +433,9 @@ def _rounds(members: DataFrame, held: DataFrame, frequencies: np.ndarray, thresh
         buckets = open_buckets(turn)
         if buckets.isEmpty():
             return labels
-        verify(buckets.where(F.col("class_id") != F.col("pivot.class_id")).select(*_ordered("doc_id", "pivot.doc_id")).distinct())
-    asked = stored(open_buckets(PIVOTS).select("doc_id").distinct(), "open")
-    posts = stored(prefixes(held.join(asked, "doc_id", "left_semi"), frequencies, threshold), "posts")
+        verify(buckets.where(F.col("class_uid") != F.col("pivot.class_uid")).select(*_ordered("uid", "pivot.uid")).distinct())
+    asked = stored(open_buckets(PIVOTS).select("uid").distinct(), "open")
+    posts = stored(prefixes(held.join(asked, "uid", "left_semi"), frequencies, threshold), "posts")
     for turn in range(HUBS):
         meeting = _meeting(posts, labels, threshold)
         if meeting.isEmpty():
@@ -420,32 +451,40 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Two texts are linked if the weighted Jaccard similarity of their five-word shingles is at least
     ``threshold`` (texts of one to four words: if the words are the same), and classes are what links
     connect. Equal texts share a class, empty ones too. A null text is alone in its class, and so
-    is a text without words that no other equals. Rows that share a doc_id are taken as one document
-    and share a class. Rows with a null doc_id come back with a null class.
+    is a text without words that no other equals. Rows that share a doc_id are taken as one document:
+    they share a class, with the links of all their texts. Rows with a null doc_id come back with a null class.
     """
     narrow = docs.select(F.col("doc_id").cast("long"), "text")
     known = narrow.where("doc_id is not null and text is not null")
     frequencies = shingle_frequencies(known)
     idf = idf_table(frequencies, known.count())
-    drawn = stored(sketch(known, idf), "sketches")
-    copies = stored(drawn.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "copies")
+    drawn = stored(sketch(known, idf).withColumn("uid", F.monotonically_increasing_id()), "sketches")
+    copies = stored(drawn.groupBy("digest").agg(F.min("uid").alias("rep"), F.count("*").alias("n")), "copies")
     many = copies.where("n > 1").select("digest", "rep")
-    same = drawn.select("doc_id", "digest").join(small(many, many.count()), "digest").select("doc_id", "rep")
-    same = stored(same.where("doc_id <> rep").distinct(), "same")
-    reps = drawn.join(same.select("doc_id"), "doc_id", "left_anti")
-    members = reps.select("doc_id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "doc_id").distinct()
+    same = drawn.select("uid", "digest").join(small(many, many.count()), "digest").where("uid <> rep").select("uid", "rep")
+    same = stored(same, "same")
+    reps = drawn.join(same.select("uid"), "uid", "left_anti")
+    members = reps.select("uid", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "uid").distinct()
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = stored(members.join(shared, "key"), "members")
-    asked = stored(members.select("doc_id").distinct(), "asked")
-    held = features(known.join(small(asked, asked.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"]), idf)
+    asked = reps.select("uid", "doc_id", "digest").join(members.select("uid").distinct(), "uid", "left_semi")
+    asked = stored(asked, "asked")
+    some = known.join(small(asked.select("doc_id").distinct(), asked.count()), "doc_id", "left_semi")
+    held = features(some, idf).join(asked, ["doc_id", "digest"]).select("uid", "found", "weight").dropDuplicates(["uid"])
     labels = _rounds(members, stored(held, "features"), frequencies, threshold)
-    links = same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    # what each row's text is a copy of, and then the class of that
+    of = drawn.select("doc_id", "uid").join(same, "uid", "left").select("doc_id", F.coalesce("rep", "uid").alias("uid"))
+    by_doc = of.distinct().groupBy("doc_id").agg(F.count("*").alias("n"), F.min("uid").alias("first")).where("n > 1").select("doc_id", "first")
+    by_doc = stored(of.join(by_doc, "doc_id").select(F.col("uid").alias("a"), F.col("first").alias("b")), "doc-links")
+    if not by_doc.isEmpty():
+        labels = _merged(labels, by_doc)
+    grouped = same.select(F.col("rep").alias("uid")).distinct()
     if labels is not None:
-        by_class = same.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left")
-        moved = by_class.select("doc_id", F.coalesce("class_id", "rep").alias("class_id")).unionByName(labels)
-    else:
-        moved = links.select(F.col("b").alias("doc_id"), F.col("a").alias("class_id"))
-    moved = moved.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+        grouped = grouped.unionByName(labels.select("uid")).distinct()
+    grouped = stored(of.join(grouped, "uid", "left_semi"), "grouped")
+    each = stored(_classed(grouped, labels), "classed")
+    least = each.groupBy("class_uid").agg(F.min("doc_id").alias("class_id"))
+    moved = each.select("doc_id", "class_uid").join(least, "class_uid").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return narrow.select("doc_id").join(moved, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
