@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelog.operators import compact as C
@@ -201,3 +202,28 @@ def test_semi_and_anti(spark):
     assert got(R.not_buffered(log, pending, 4), "key") == [("a",), ("a",)]
     assert got(R.not_buffered(log, pending, 3), "key") == [("a",), ("a",), ("b",)]
     assert got(R.tiered_view(log, pending), "key", "version") == [("a", 2), ("b", 4)]
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_merge_order_of_a_million_rows(spark, adaptive):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        log = spark.range(1_000_000, numPartitions=16).selectExpr("id % 70000 as key", "id + 1 as version", "id % 11 = 0 as tombstone", "repeat(cast(id as string), 9) as value")
+        placed = retain.merge_order(log, F.xxhash64("key"))
+        assert placed.columns == [*log.columns, "position"]
+        n, different, low, high, wide = placed.agg(F.count("*"), F.count_distinct("position"), F.min("position"), F.max("position"), F.count("value")).first()
+        assert (n, different, low, high, wide) == (1_000_000, 1_000_000, 1, 1_000_000, 1_000_000)
+        by_hash = Window.orderBy("position")
+        ahead = placed.where("position < 2000").withColumn("h", F.xxhash64("key").bitwiseXOR(F.lit(-(1 << 63))))
+        ahead = ahead.select("h", "version", F.lag("h").over(by_hash).alias("h0"), F.lag("version").over(by_hash).alias("v0"))
+        assert ahead.where("h < h0 or (h = h0 and version > v0)").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_slots_of_many_points(spark):
+    points = [7 * i + 3 for i in range(300)]
+    log = spark.range(2200).selectExpr("id as version")
+    few = {r["version"]: r["s"] for r in log.select("version", R.slot(points).alias("s")).collect()}
+    assert few == {v: min((p for p in points if p >= v), default=None) for v in range(2200)}

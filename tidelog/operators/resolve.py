@@ -47,16 +47,31 @@ def late_values(log: DataFrame, as_of: int | None = None) -> DataFrame:
     return bounded(log, as_of).join(snapshot_view(log.select(*ids), as_of), ids, "left_semi")
 
 
+#: Up to so many points a row's slot is found by comparing them in turn, and beyond by halving their sorted list.
+COMPARED_POINTS = 32
+
+
 def slot(points: list[int]) -> Column:
     """The first point at or above a row's version; null above the last."""
     ordered = sorted(set(points))
     if not ordered:
         return F.lit(None).cast("long")
-    first, *rest = ordered
     version = F.col(VERSION)
+    if len(ordered) > COMPARED_POINTS:
+        held = F.array(*[F.lit(p).cast("long") for p in ordered])
+        below = _below(held, len(ordered), version)
+        return F.when(below < len(ordered), F.element_at(held, F.least(below + 1, F.lit(len(ordered)))))
+    first, *rest = ordered
     return reduce(lambda c, p: c.when(version <= p, F.lit(p)), rest, F.when(version <= first, F.lit(first))).cast("long")
 
 
+def _below(held: Column, n: int, version: Column) -> Column:
+    """How many of n sorted points are below the version: each step tries half the reach of the one before."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
+    at = lambda i: F.element_at(held, F.least(i, F.lit(n)))
+    return F.aggregate(steps, F.lit(0), lambda lo, step: F.when((lo + step <= n) & (at(lo + step) < version), lo + step).otherwise(lo))
+
+
 def snapshot_views(log: DataFrame, points: list[int]) -> DataFrame:
     """The live rows at each of several versions, marked with it in the column snapshot.
 

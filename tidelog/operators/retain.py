@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidelog.folders import shared_path
 from tidelog.operators.resolve import newest_first, slot, winners
 from tidelog.schema import KEY, SEGMENT, TOMBSTONE, VERSION
 
@@ -72,13 +73,18 @@ def pruned_on_put(log: DataFrame, batch: DataFrame, points: list[int]) -> DataFr
 def merge_order(log: DataFrame, key_hash: Column) -> DataFrame:
     """log with ``position`` by unsigned key hash, then key, descending version and tombstone.
 
-    A range exchange sorts the rows; each partition then numbers its own and adds the counts before it.
+    A range exchange sorts the rows, which are stored with the number of their task and their place in
+    it. Both the counts of the tasks and the rows are then read from that table, so they are of one and the same cut.
     """
+    spark, path = log.sparkSession, shared_path(log.sparkSession, "merge-order")
     flipped = key_hash.bitwiseXOR(F.lit(-(1 << 63)))
     ordered = log.withColumn("_h", flipped).orderBy("_h", KEY, *newest_first(log)).withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    before = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    ordered = ordered.withColumn("_part", F.shiftright("_id", 33)).drop("_h")
+    ordered.write.parquet(path)
+    placed = spark.read.schema(ordered.schema).parquet(path)
+    before = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each task of the exchange
     before = before.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")
-    local = F.col("_id") - F.shiftleft(part, 33)
-    placed = ordered.withColumn("_part", part).join(F.broadcast(before), "_part")
-    return placed.withColumn("position", local + F.col("_before") + 1).drop("_h", "_id", "_part", "_before")
+    local = F.col("_id") - F.shiftleft("_part", 33)
+    placed = placed.join(F.broadcast(before), "_part", "left")
+    before = F.coalesce("_before", F.raise_error(F.lit("a row of a task that wasn't counted")).cast("long"))
+    return placed.withColumn("position", local + before + 1).select(*log.columns, "position")

@@ -123,8 +123,8 @@ def prune_counts(spark, sf_dir):
 
 @query
 def prune_desc_multi_only(spark, sf_dir):
-    log = events_log(spark, sf_dir, 200)
-    return retain.pruned(log, [50, 100, 200]).select(KEY, VERSION, TOMBSTONE)
+    log = events_log(spark, sf_dir)
+    return retain.pruned(log, _points(log)).select(KEY, VERSION, TOMBSTONE)
 
 
 @query
@@ -135,13 +135,14 @@ def flush_newest_only(spark, sf_dir):
 @query
 def prune_on_put(spark, sf_dir):
     log = events_log(spark, sf_dir)
-    stored, batch = log.where(F.col(VERSION) <= 5000), log.where(F.col(VERSION).between(5001, 5020))
-    return retain.pruned_on_put(stored, batch, [2500, 5020]).select(KEY, VERSION, TOMBSTONE)
+    last = latest(log)
+    stored, batch = log.where(F.col(VERSION) <= last - last // 50), log.where(F.col(VERSION) > last - last // 50)
+    return retain.pruned_on_put(stored, batch, [2500, last]).select(KEY, VERSION, TOMBSTONE)
 
 
 @query
 def dead_ratio(spark, sf_dir):
-    return C.dead_ratio(events_log(spark, sf_dir, 100))
+    return C.dead_ratio(events_log(spark, sf_dir))
 
 
 @query
@@ -203,8 +204,7 @@ def compaction_preserves_as_of(spark, sf_dir):
 @query
 def pertinence_semi(spark, sf_dir):
     log = segmented(events_log(spark, sf_dir))
-    scanned = log.where(F.col(SEGMENT) % 2 == 0)
-    return R.pertinent(scanned, log.select(KEY, VERSION, TOMBSTONE, SEGMENT)).select(KEY, VERSION, SEGMENT)
+    return R.pertinent(log, log.select(KEY, VERSION, TOMBSTONE, SEGMENT)).select(KEY, VERSION, SEGMENT)
 
 
 def _tiers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -237,7 +237,7 @@ def filter_stream(spark, sf_dir):
 
 @query
 def tag_source(spark, sf_dir):
-    return C.tag_source(events_log(spark, sf_dir, 500), 7).select(KEY, VERSION, SEGMENT)
+    return C.tag_source(events_log(spark, sf_dir), 7).select(KEY, VERSION, SEGMENT)
 
 
 @query
@@ -316,14 +316,28 @@ def workload_zipf(spark, sf_dir):
     return ops.groupBy("op", "key_id").agg(F.count("*").alias("n"))
 
 
-def _loaded(spark, sf_dir, **options) -> Table:
-    log = events_log(spark, sf_dir, 400)
+#: The versions that the Table queries write the whole log as.
+BATCHES = 4
+
+
+def _new_table(spark, log, **options) -> Table:
     fields = log.schema
-    held = Table.open(spark, shared_path(spark, "table"), log_schema(fields[KEY].dataType, fields["value"].dataType), create_if_missing=True, buckets=4, **options)
-    for low in range(0, 400, 100):
-        part = log.where(F.col(VERSION).between(low + 1, low + 100)).select(KEY, TOMBSTONE, "value", (-F.col(VERSION)).alias("ordinal"))
+    return Table.open(spark, shared_path(spark, "table"), log_schema(fields[KEY].dataType, fields["value"].dataType), create_if_missing=True, buckets=4, **options)
+
+
+def _batches(log: DataFrame) -> list[DataFrame]:
+    """The log as operations of BATCHES batches of equal runs of versions."""
+    last, cols = latest(log), [KEY, TOMBSTONE, "value", (-F.col(VERSION)).alias("ordinal")]
+    edges = [last * i // BATCHES for i in range(BATCHES + 1)]
+    return [log.where((F.col(VERSION) > a) & (F.col(VERSION) <= b)).select(*cols) for a, b in zip(edges, edges[1:])]
+
+
+def _loaded(spark, sf_dir, **options) -> Table:
+    log = events_log(spark, sf_dir)
+    held = _new_table(spark, log, **options)
+    for i, part in enumerate(_batches(log)):
         held.write(part)
-        if low == 100:
+        if i == 1:
             held.snapshot()
     return held
 
@@ -348,6 +362,29 @@ def table_recovered_index(spark, sf_dir):
     return Table.open(spark, held.path).index().select(KEY, VERSION, TOMBSTONE, SEGMENT)
 
 
+@query
+def table_after_lost_races(spark, sf_dir):
+    """Two handles that each write half of the batches, every time on top of a state that the other has left behind."""
+    log = events_log(spark, sf_dir)
+    mine = _new_table(spark, log)
+    other = Table.open(spark, mine.path)
+    for i, part in enumerate(_batches(log)):
+        (mine, other)[i % 2].write(part)
+    return Table.open(spark, mine.path).log().select(KEY, VERSION, TOMBSTONE, "value")
+
+
+@query
+def table_read_over_vacuum(spark, sf_dir):
+    """A view that is held while its segments are merged and vacuumed."""
+    held = _loaded(spark, sf_dir, gc_policy="oldest_first")
+    view = held.scan()
+    held.compact()
+    held.vacuum()
+    out = view.select(KEY, VERSION, "value")
+    out._held = view  # the files stay as long as the view
+    return out
+
+
 @query
 def stream_to_table(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -53,7 +54,9 @@ class Manifest:
 
     def commit(self, number: int, state: dict) -> int:
         """Make state the successor of number; raises Conflict if it has one already."""
-        target, temporary = (self._path(f"{self.folder}/{name}") for name in (f"{number + 1:012d}.json", f".{number + 1:012d}.{id(state)}.tmp"))
+        if number >= 0 and self.numbers()[-1:] != [number]:
+            raise Conflict(f"state {number} isn't the newest")
+        target, temporary = (self._path(f"{self.folder}/{name}") for name in (f"{number + 1:012d}.json", f".{number + 1:012d}.{uuid.uuid4().hex}.tmp"))
         stream = self._fs.create(temporary, True)
         stream.write(bytearray(json.dumps(state, sort_keys=True).encode()))
         stream.close()
@@ -70,6 +73,30 @@ class Manifest:
             raise
         return number + 1
 
+    def put(self, name: str, value: dict) -> None:
+        """Store a small JSON file beside the states, replacing one of this name."""
+        stream = self._fs.create(self._path(f"{self.folder}/{name}"), True)
+        stream.write(bytearray(json.dumps(value).encode()))
+        stream.close()
+
+    def files(self, prefix: str) -> dict[str, tuple[float, dict]]:
+        """The files that put() stored under names with this prefix: (seconds since the epoch, value); one that goes meanwhile is left out."""
+        out = {}
+        for s in self._fs.listStatus(self._path(self.folder)):
+            name = s.getPath().getName()
+            if name.startswith(prefix):
+                try:
+                    stream = self._fs.open(s.getPath())
+                    out[name] = s.getModificationTime() / 1000, json.loads(bytes(stream.readAllBytes()).decode() or "{}")
+                    stream.close()
+                except Exception:
+                    if self._fs.exists(s.getPath()):
+                        raise
+        return out
+
+    def forget(self, name: str) -> None:
+        self._fs.delete(self._path(f"{self.folder}/{name}"), False)
+
     def compact(self, keep: int = 1) -> None:
         """Remove all states but the newest ``keep``."""
         for number in self.numbers()[:-keep]:
