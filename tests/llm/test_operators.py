@@ -158,6 +158,46 @@ def test_proximity(spark):
     assert found == {(1, 1), (2, 3)}
 
 
+def test_rows_are_judged_by_their_own_text(spark):
+    docs = docs_of(spark, [(1, PROSE), (1, "two words"), (1, "one and three more"), (None, PROSE), (2, None), (1, PROSE)])
+    items = spark.createDataFrame([(9, PROSE)], "item_id long, text string")
+    out = decontaminate.contamination(docs, items).collect()
+    n = len(brute.words(PROSE))
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"]) for r in out) == Counter([(1, n, n), (1, 2, 0), (1, 4, 0), (None, n, n), (2, 0, 0), (1, n, n)])
+    assert Counter(texts(decontaminate.decontaminate(docs, items))) == Counter([(1, "two words"), (1, "one and three more"), (2, None)])
+
+
+def near_by_hand(docs, items, long_word, slop):
+    df, at = Counter(), {}
+    for i, (_, text) in enumerate(docs):
+        at[i] = brute.words(text)
+        df.update(at[i])
+    out = Counter()
+    for item, text in items:
+        asked = {w for w in brute.words(text) if len(w) >= long_word}
+        if not asked:
+            continue
+        rarest = min(asked, key=lambda w: (df[w], w))
+        for i, (doc, _) in enumerate(docs):
+            for p, w in enumerate(at[i]):
+                if w == rarest and asked <= set(at[i][max(p - slop, 0) : p + slop + 1]):
+                    out[item, doc] += 1
+    return out
+
+
+def test_proximity_against_a_plain_version(spark, sf, documents):
+    rows = [(1, f"{PROSE} {OTHER} {PROSE}"), (1, PROSE), (None, " ".join(reversed(PROSE.split()))), (2, None), (3, ""), (4, "quick " * 50 + "brown"), (5, LONG)]
+    asked = [(1, PROSE), (2, "quick brown"), (3, "quick nowhere"), (4, None), (5, "w1x1 w5x5 w2x2"), (None, "brown")]
+    items = spark.createDataFrame(asked, "item_id long, text string")
+    for long_word, slop in ((4, 40), (5, 3), (1, 1)):
+        out = decontaminate.proximity(docs_of(spark, rows), items, long_word, slop).collect()
+        assert {(r["item_id"], r["doc_id"]): r["n_places"] for r in out} == near_by_hand(rows, asked, long_word, slop)
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    out = decontaminate.proximity(documents, items).collect()
+    want = near_by_hand(texts(documents), [(r["item_id"], r["text"]) for r in items.collect()], 8, 40)
+    assert {(r["item_id"], r["doc_id"]): r["n_places"] for r in out} == want and want
+
+
 # -- chat
 
 
@@ -231,15 +271,55 @@ def test_line_dedup(spark, batches):
     assert all(r["h1"] == 1 for r in out)
 
 
-def test_line_runs_are_compacted_and_know_their_keys(spark):
-    runs = line_dedup.LineRuns(fanout=2)
+def test_line_runs_are_compacted_and_know_their_keys(spark, tmp_path):
+    runs = line_dedup.LineRuns(spark, f"file://{tmp_path}/runs", fanout=2)
     batch = lambda *rows: spark.createDataFrame(rows, "doc_id long, h1 long, h2 long")
-    assert runs.add(batch((9, 1, 1), (8, 2, 2))).count() == 2
-    assert {r["h1"] for r in runs.add(batch((7, 1, 1), (7, 3, 3))).collect()} == {3}
+    fresh = lambda *rows: {r["h1"] for r in runs.add(batch(*rows)).where("fresh").collect()}
+    assert fresh((9, 1, 1), (8, 2, 2)) == {1, 2}
+    assert fresh((7, 1, 1), (7, 3, 3)) == {3}
     assert [len(level) for level in runs.levels] == [0, 1]
-    assert runs.add(batch((6, 1, 1), (6, 3, 3))).count() == 0
+    assert fresh((6, 1, 1), (6, 3, 3), (10, 2, 2)) == set()
     assert [len(level) for level in runs.levels] == [1, 1]
-    assert {tuple(r) for r in runs.keys(2).collect()} == {(1, 1, 3, 9), (3, 3, 2, 7)}
+    assert {tuple(r) for r in runs.keys(2).collect()} == {(1, 1, 3, 9), (2, 2, 2, 10), (3, 3, 2, 7)}
+
+
+def test_a_later_session_goes_on_from_the_runs(spark, tmp_path):
+    """What two batches leave, the second taken in by a session that knows no table of the first, is what one would."""
+    common = [f"a line that many documents share, number {i}" for i in range(5)]
+    rows = [(d, "\n".join([*common[d % 5 :], f"own line of document number {d}"])) for d in range(40)]
+    store = f"file://{tmp_path}/store"
+    line_dedup.dedup_lines(docs_of(spark, rows[:25]), store=store).count()
+    other = spark.newSession()
+    for t in other.catalog.listTables():
+        if t.name.startswith("line_run_"):
+            other.sql(f"DROP TABLE {t.name}")
+    out = line_dedup.dedup_lines(docs_of(other, rows[25:]), store=store).collect()
+    want = {d: (n, g, t) for d, n, g, t in lines_by_hand(rows)}
+    assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in out} == {d: want[d] for d, _ in rows[25:]}
+
+
+def test_runs_are_merged_without_exchanges(spark, tmp_path):
+    runs = line_dedup.LineRuns(spark, f"file://{tmp_path}/runs", fanout=9)
+    for i in range(2):
+        runs.add(spark.range(1000).selectExpr(f"{i} as doc_id", f"id * {i + 1} as h1", "id as h2"))
+    with line_dedup._ordered_buckets(spark):
+        plan = runs._merged(runs.runs())._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_line_dedup_of_texts_of_many_lines(spark):
+    shared = [f"line number {i} of a very long text" for i in range(200_000)]
+    rows = [(1, "\n".join(shared)), (2, "\n".join(shared[::-1])), (3, "\n".join([*shared[:199_000], *["own"] * 1000]))]
+    out = line_dedup.dedup_lines(docs_of(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in out) == lines_by_hand(rows)
+
+
+def test_the_keys_that_most_lines_have_are_split_off(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 3)
+    hot = "the line that every document has"
+    rows = [(d, "\n".join([hot, *[f"a line of group number {g}" for g in range(8) if d % 8 <= g]])) for d in range(60)]
+    out = line_dedup.dedup_lines(docs_of(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in out) == lines_by_hand(rows)
 
 
 def test_line_dedup_of_nothing(none):

@@ -21,6 +21,24 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def proximity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold the long words of a benchmark item within forty words of the rarest of them."""
+    return decontaminate.proximity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_PROXIMITY = r"""
+WITH w AS (SELECT doc_id, i, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (SELECT *, row_number() OVER () AS i FROM documents)),
+posting AS (SELECT doc_id, i, unnest(w) AS word, unnest(range(len(w))) AS pos FROM w),
+q AS (SELECT DISTINCT item_id, word FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark) WHERE length(word) >= 8),
+df AS (SELECT word, count(*) AS df FROM posting GROUP BY word),
+r AS (SELECT item_id, q.word, count(*) OVER (PARTITION BY item_id) AS n, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(df, 0), q.word) AS rank FROM q LEFT JOIN df USING (word)),
+a AS (SELECT item_id, n, doc_id, i, pos AS anchor FROM r JOIN posting USING (word) WHERE rank = 1),
+near AS (SELECT a.item_id, a.n AS n, a.doc_id, a.i, anchor FROM a JOIN posting p ON p.i = a.i AND p.pos BETWEEN anchor - 40 AND anchor + 40
+  JOIN r ON r.item_id = a.item_id AND r.word = p.word GROUP BY a.item_id, a.n, a.doc_id, a.i, anchor HAVING count(DISTINCT p.word) = a.n)
+SELECT item_id, doc_id, count(*) AS n_places FROM near GROUP BY ALL
+"""
+
+
 _OP2 = r"""
 WITH doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 item AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -154,6 +172,13 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
+#: Further queries over the same operators, and their SQL.
+MORE_QUERIES = {
+    "proximity_search": proximity_search,
+}
+MORE_SQL = {
+    "proximity_search": _PROXIMITY,
+}
 ORACLE_SQL = {
     "op2_decontamination": _OP2,
     "op3_chat_format": _OP3,
