@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -613,6 +614,24 @@ def test_an_archive_is_its_dictionary_and_single_frames(spark, tmp_path):
     assert frames == 300 and len(list(warc.parse_archive(raw))) == 300
 
 
+def test_records_are_whole_and_have_names_of_their_own(spark, tmp_path):
+    rows = [(1, "http://a", "x" * 200), (1, "http://a", "x" * 200), (None, None, "y"), (None, "", None), (2, "http://b", "x" * 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    (made,) = warc.write_archives(warc.plan_records(pages), f"file://{tmp_path}", date="2026-01-02T03:04:05Z", info=True).collect()
+    records = list(warc.parse_archive(open(made["archive"], "rb").read()))
+    assert [r["WARC-Type"] for r in records][0] == "warcinfo" and len(records) == 6 and made["n_records"] == 5
+    assert len({r["WARC-Record-ID"] for r in records}) == 6 and {r["WARC-Date"] for r in records} == {"2026-01-02T03:04:05Z"}
+    assert all(r["WARC-Target-URI"] for r in records if "WARC-Target-URI" in r)
+
+
+def test_archives_of_other_attempts_are_not_read(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    plan, folder = warc.plan_records(pages), f"file://{tmp_path}"
+    warc.write_archives(plan, folder).collect()
+    listed = warc.write_archives(plan, folder)
+    assert warc.read_archives(spark, folder, listed).count() == 20 and warc.read_archives(spark, folder).count() == 40
+
+
 # -- url filter
 
 
@@ -641,6 +660,46 @@ def test_rules_are_filed_under_their_rarest_token(spark):
     assert url_filter.site_rule("block", "a.com/pre")["tokens"] == ["a", "com"]
 
 
+def test_no_rule_is_lost(spark):
+    rules = [
+        url_filter.word_rule("block", "free-money"), url_filter.word_rule("block", "казино"), url_filter.site_rule("block", "a.com/x/"),
+        url_filter.site_rule("allow", "a.com/x/y/") | {"rule": "a.com/x/"}, url_filter.wildcard_rule("block", "*"), url_filter.word_rule("block", "FREE"),
+    ]
+    rules = rules[:4] + [rules[5]]
+    table = spark.createDataFrame([tuple(r[n] for n in url_filter._TYPES) for r in rules], ", ".join(f"{n} {t}" for n, t in url_filter._TYPES.items()))
+    urls = {
+        "http://free-money.net/": "block", "http://x.казино.org/": "block", "http://a.com/x/1": "block", "http://a.com/x/y/1": "allow", "http://free.org/": "block",
+        "http://money.net/": "allow", "http://freemoney.net/": "allow",
+    }
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert {r["url"]: r["verdict"] for r in url_filter.judge(pages, table).collect()} == urls
+    everything = url_filter.rule_table(spark, ["block *", "# a remark", ""])
+    assert {r["verdict"] for r in url_filter.judge(pages, everything).collect()} == {"block"}
+    with pytest.raises(ValueError, match="not a rule"):
+        url_filter.rule_table(spark, ["forbid x"])
+    with pytest.raises(Exception, match="a rule needs"):
+        url_filter.judge(pages, table.withColumn("pattern", F.lit(None).cast("string"))).count()
+
+
+def test_thousands_of_rules_judge_as_a_plain_version_does(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: f"w{rng.integers(60)}"
+    lines = sorted({f"{('block', 'allow')[rng.integers(2)]} {word()}.{word()}/{word()}{('*', '/', '', '*.html$')[rng.integers(4)]}" for _ in range(4000)})
+    urls = [f"http://{word()}.{word()}.{word()}/{word()}{('', '/x', '.html', '-z')[rng.integers(4)]}" for _ in range(600)]
+    tried = []
+    for action, text in (line.split(" ") for line in lines):
+        body = ".*".join(re.escape(part) for part in text.removesuffix("$").split("*"))
+        tried.append((re.compile(r"\A[^/]*\." + body + (r"\Z" if text.endswith("$") else "")), (-len(text), text, action)))
+
+    def plain(url):
+        best = min((told for pattern, told in tried if pattern.search("." + url.removeprefix("http://"))), default=None)
+        return best[2] if best else "allow"
+
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, url_filter.rule_table(spark, lines)).collect()}
+    assert len(lines) > 3000 and out == {i: plain(u) for i, u in enumerate(urls)} and "block" in out.values()
+
+
 # -- quality
 
 

@@ -335,37 +335,62 @@ def cells(found: np.ndarray) -> np.ndarray:
     return ((found * _U(0xD6E8FEB86659FD93)) >> _U(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
+def _rarest_first(found: np.ndarray, weight: np.ndarray, frequencies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles, weights, weight ahead of each) in the one order of all shingles."""
+    order = np.lexsort((found, frequencies[_bucket(found)]))
+    weight = weight[order]
+    return found[order], weight, np.cumsum(weight) - weight
+
+
 def prefixes(held: DataFrame, frequencies: np.ndarray, threshold: float) -> DataFrame:
-    """(uid, found, before, total, c0, c1 ...): the shingles under which a text is looked for, rarest first.
+    """(uid, found, before, total): the shingles under which a text is looked for, rarest first.
 
     In one order of all shingles, by frequency, a text's similar partner shares one of those that come
-    before 1 - threshold of its weight; ``before`` is the weight of the text's shingles ahead of each, and
-    c0, c1 ... are the weights of those from it on, summed by cell.
+    before 1 - threshold of its weight; ``before`` is the weight of the text's shingles ahead of each.
     """
     shared = held.sparkSession.sparkContext.broadcast(frequencies)  # TABLE longs, whatever the input
-    names = ["uid", "found", "before", "total", *_CELL_NAMES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            uids, parts = [], []
             for uid, f, w in zip(batch.column("uid").to_pylist(), batch.column("found"), batch.column("weight")):
-                found, weight = np.frombuffer(f.as_buffer(), np.uint64), np.frombuffer(w.as_buffer(), np.float32).astype(np.float64)
-                order = np.lexsort((found, shared.value[_bucket(found)]))
-                found, weight, total = found[order], weight[order], weight.sum()
-                before = np.cumsum(weight) - weight
-                n, cell = int(np.searchsorted(before, (1 - threshold) * total + 1e-6, side="right")), cells(found)
-                left = np.bincount(cell, weight, CELLS)
-                for at in range(0, n, _POSTS):
-                    to = min(n, at + _POSTS)
-                    gone = np.zeros((to - at, CELLS))
-                    gone[np.arange(to - at), cell[at:to]] = weight[at:to]
-                    rest = left - (np.cumsum(gone, axis=0) - gone)
-                    left = left - gone.sum(axis=0)
-                    columns = [np.full(to - at, uid), found[at:to].view(np.int64), before[at:to], np.full(to - at, total)]
-                    sums = np.ascontiguousarray(rest.T + 1e-6, dtype=np.float32)
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *map(pa.array, sums)], names=names)
-
-    kinds = "uid long, found long, before double, total double, " + ", ".join(f"{c} float" for c in _CELL_NAMES)
-    return held.select("uid", "found", "weight").mapInArrow(run, kinds)
+                weight = np.frombuffer(w.as_buffer(), np.float32).astype(np.float64)
+                found, _, before = _rarest_first(np.frombuffer(f.as_buffer(), np.uint64), weight, shared.value)
+                n = int(np.searchsorted(before, (1 - threshold) * weight.sum() + 1e-6, side="right"))
+                uids.append(np.full(n, uid))
+                parts.append((found[:n], before[:n], np.full(n, weight.sum())))
+            columns = [np.concatenate([p[i] for p in parts] or [np.zeros(0, kind)]) for i, kind in enumerate((np.uint64, np.float64, np.float64))]
+            uid = np.concatenate(uids or [np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(columns[0].view(np.int64)), *map(pa.array, columns[1:])], names=["uid", "found", "before", "total"])
+
+    return held.select("uid", "found", "weight").mapInArrow(run, "uid long, found long, before double, total double")
+
+
+def celled(posts: DataFrame, held: DataFrame, frequencies: np.ndarray) -> DataFrame:
+    """posts (uid, class_uid, found, before, total) with c0, c1 ...: the weights from each shingle on, summed by cell."""
+    shared = held.sparkSession.sparkContext.broadcast(frequencies)  # TABLE longs, whatever the input
+    names = ["uid", "class_uid", "found", "before", "total", *_CELL_NAMES]
+    asked = posts.groupBy("uid", "class_uid").agg(F.collect_list("found").alias("asked"))  # at most the text's own prefix
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uid, class_uid, asked, f, w in zip(batch.column("uid").to_pylist(), batch.column("class_uid").to_pylist(), *(batch.column(n) for n in ("asked", "found", "weight"))):
+                weight = np.frombuffer(w.as_buffer(), np.float32).astype(np.float64)
+                found, weight, before = _rarest_first(np.frombuffer(f.as_buffer(), np.uint64), weight, shared.value)
+                places = np.flatnonzero(np.isin(found, np.asarray(asked.values).view(np.uint64)))
+                cell, total = cells(found), weight.sum()
+                left, done = np.bincount(cell, weight, CELLS), 0
+                for at in range(0, len(places), _POSTS):
+                    some = places[at : at + _POSTS]
+                    rest = np.empty((CELLS, len(some)), np.float32)
+                    for i, place in enumerate(some):
+                        left -= np.bincount(cell[done:place], weight[done:place], CELLS)
+                        rest[:, i], done = left + 1e-6, place
+                    columns = [np.full(len(some), uid), np.full(len(some), class_uid), found[some].view(np.int64), before[some], np.full(len(some), total)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *map(pa.array, rest)], names=names)
+
+    kinds = "uid long, class_uid long, found long, before double, total double, " + ", ".join(f"{c} float" for c in _CELL_NAMES)
+    return asked.join(held, "uid").select("uid", "class_uid", "asked", "found", "weight").mapInArrow(run, kinds)
 
 
 def _meeting(posts: DataFrame, labels: DataFrame | None, threshold: float) -> DataFrame:
@@ -397,7 +422,7 @@ def hub_pairs(posts: DataFrame, turn: int) -> DataFrame:
 
 
 def prefix_pairs(posts: DataFrame, threshold: float) -> DataFrame:
-    """All pairs (a, b) of different classes that can be similar, each made at the first shingle they share.
+    """All pairs (a, b) of different classes that can be similar, from posts as of celled, each made at the first shingle they share.
 
     What two texts have in common from a shared shingle on is at most the sum over the cells of the
     lesser weight in each. Texts that each lack other parts of a common source fail by that sum, so a
@@ -441,7 +466,7 @@ def _rounds(members: DataFrame, held: DataFrame, frequencies: np.ndarray, thresh
         if meeting.isEmpty():
             return labels
         verify(hub_pairs(meeting, turn))
-    verify(prefix_pairs(_meeting(posts, labels, threshold), threshold))
+    verify(prefix_pairs(stored(celled(_meeting(posts, labels, threshold), held, frequencies), "cells"), threshold))
     return labels
 
 

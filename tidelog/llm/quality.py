@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelog.llm.shared import stored
+
 WINDOW = 8
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_stutters"]
 
@@ -137,7 +139,15 @@ def passing(docs: DataFrame, version: str = "v1") -> DataFrame:
     return kept.select(*[c for c in docs.columns if c not in (*MEASURES, "failures")])
 
 
+def keep_ledger(docs: DataFrame) -> DataFrame:
+    """The stored ledger (doc_id, measurements, failures): policies and ablations read it, and no text any more."""
+    return stored(ledger(docs.select("doc_id", "text")).drop("text"), "ledger")
+
+
 def digest(docs: DataFrame) -> DataFrame:
-    book = ledger(docs.select("doc_id", "text")).drop("text")
-    book = apply_policy(apply_policy(book, "base", "_base"), "v1")
+    """From the stored ledger, a row for each row of docs: doc_id, five measurements, base_failed, kept under v1, failures.
+
+    A null or empty text measures 0 throughout and fails few_words; null and shared doc_ids stay as they are.
+    """
+    book = apply_policy(apply_policy(keep_ledger(docs), "base", "_base"), "v1")
     return book.select("doc_id", *MEASURES[:5], (~F.col("_base")).alias("base_failed"), (F.col("_base") & F.col("kept")).alias("kept"), "failures")

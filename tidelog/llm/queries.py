@@ -141,6 +141,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(_table(spark, sf_dir, "documents"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 does, from the stored ledger."""
+    return quality.ablations(quality.keep_ledger(_table(spark, sf_dir, "documents")), "v1")
+
+
 _OP10 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 line AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines
@@ -160,6 +165,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, b0 +
 FROM b
 """
 
+#: The bits of op10's SQL, by rule, as rows.
+_ABLATIONS = "WITH f AS (SELECT failures FROM (" + _OP10 + """)),
+r AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('repeated_lines', 8), ('short_words', 16), ('long_words', 32), ('shouting', 64), ('stuttering', 128)) AS v(rule, bit))
+SELECT rule, CAST(count(*) FILTER (failures & bit <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER (failures = bit) AS BIGINT) AS n_rejected_alone,
+  CAST(count(*) FILTER (failures & ~bit = 0) AS BIGINT) AS n_kept_without FROM f, r GROUP BY rule"""
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
@@ -175,9 +186,11 @@ QUERIES = {
 #: Further queries over the same operators, and their SQL.
 MORE_QUERIES = {
     "proximity_search": proximity_search,
+    "quality_ablations": quality_ablations,
 }
 MORE_SQL = {
     "proximity_search": _PROXIMITY,
+    "quality_ablations": _ABLATIONS,
 }
 ORACLE_SQL = {
     "op2_decontamination": _OP2,

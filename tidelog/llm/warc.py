@@ -1,9 +1,10 @@
 """A WARC writer whose archives are compressed record by record with a dictionary of their own.
 
 Each archive starts with a skippable frame that holds a Zstandard dictionary, built from the first
-records that go into it; every record is then a frame of its own. Records whose payload another one
-already holds are revisits of it. Tasks write archives into the shared folder under a temporary name
-and rename them when they are complete, so a task that is run again replaces its archives.
+records that go into it; every record is then a frame of its own, a warcinfo first. Records whose
+payload another one already holds are revisits of it. Each attempt of a task writes archives of its own
+names, and the stored list that the tasks return says which attempt counts, so what a lost or repeated
+attempt left behind is never read.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import io
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,17 +56,39 @@ def plan_records(pages: DataFrame) -> DataFrame:
     )
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
+#: The date of records whose capture time isn't known.
+NO_DATE = "1970-01-01T00:00:00Z"
+_SOFTWARE = b"software: tidelog\r\nformat: WARC File Format 1.1\r\n"
+
+
+def _record(head: list[tuple[str, str]], block: bytes) -> bytes:
+    head = [*head, ("Content-Length", str(len(block)))]
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def info_bytes(name: str, date: str) -> bytes:
+    """The warcinfo record that opens an archive."""
+    head = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"), ("WARC-Date", date)]
+    return _record([*head, ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], _SOFTWARE)
+
+
+def record_id(page_id: int | None, place: str) -> str:
+    """A name no other record has: where a record stands makes those of equal or no page_id differ."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{place}>"
+
+
+def record_bytes(
+    page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None, place: str = "0", date: str = NO_DATE
+) -> bytes:
     """One WARC/1.1 record; a revisit has the HTTP header of its payload and not the payload."""
     target = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url or "")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if kind == "revisit" else http + payload
-    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"), ("WARC-Payload-Digest", f"sha256:{digest}")]
-    head += [("WARC-Target-URI", target)] if url is not None else []
+    head = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id, place)), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha256:{digest}")]
+    head += [("WARC-Target-URI", target or "about:blank")] if url is not None else []
     if kind == "revisit":
         head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
-    head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
+    return _record([*head, ("Content-Type", "application/http; msgtype=response")], block)
 
 
 def train(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
@@ -93,36 +117,60 @@ def _archives(records: Iterator[bytes]) -> Iterator[list]:
         yield [sample, rest()]
 
 
-def write_archives(plan: DataFrame, folder: str) -> DataFrame:
-    """Write plan (as of plan_records) and return the stored (archive, n_records, n_bytes)."""
+def write_archives(plan: DataFrame, folder: str, date: str = NO_DATE, info: bool = False) -> DataFrame:
+    """Write plan (as of plan_records) and return the stored (archive, n_records, n_bytes); n_records leaves the warcinfo out.
+
+    With ``info`` each archive opens with a warcinfo record.
+
+    A null page_id or url is left out of its record's headers, an empty url is about:blank, and null html is the
+    empty payload (plan_records sees to it). Rows with the same or no page_id are records of different ids.
+    An empty plan gives no archives. Rows of a task are taken in the order of page_id, digest and url, so a
+    task that is run again writes the same archives.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, at = fs.FileSystem.from_uri(folder)
+        out, at = _file_system(folder)
         out.create_dir(at, recursive=True)
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
-        records = (record_bytes(p, u, h.encode("utf-8", "surrogatepass"), d, k, to) for p, u, h, d, k, to in rows)
-        context, told = TaskContext.get(), []
+        context, told, n_seen = TaskContext.get(), [], 0
+        part = f"part-{context.partitionId():06d}"
+
+        def rows() -> Iterator[bytes]:
+            nonlocal n_seen
+            for b in batches:
+                for p, u, h, d, k, to in zip(*(c.to_pylist() for c in b.columns)):
+                    n_seen += 1
+                    yield record_bytes(p, u, h.encode("utf-8", "surrogatepass"), d, k, to, f"{part}-{n_seen}", date)
+
+        records = rows()
         for i, (sample, rest) in enumerate(_archives(records)):
-            name = f"{at}/part-{context.partitionId():06d}-{i:04d}.warc.zst"
+            name = f"{at}/{part}-{i:04d}-{context.taskAttemptId()}.warc.zst"
             trained = train(sample)
             pack, n = zstandard.ZstdCompressor(level=3, dict_data=trained), 0
-            with out.open_output_stream(f"{name}.{context.taskAttemptId()}.tmp") as f:
+            with out.open_output_stream(name, compression=None) as f:  # else pyarrow goes by the name
                 raw = trained.as_bytes()
                 f.write(struct.pack("<II", DICT_MAGIC, len(raw)) + raw)
+                if info:
+                    f.write(pack.compress(info_bytes(f"{part}-{i:04d}.warc.zst", date)))
                 for group in (sample, rest):
                     for r in group:
                         f.write(pack.compress(r))
                         n += 1
                 size = f.tell()
-            out.move(f"{name}.{context.taskAttemptId()}.tmp", name)
             told.append((name, n, size))
         yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in told], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["archive", "n_records", "n_bytes"])
 
-    return stored(plan.mapInArrow(run, "archive string, n_records long, n_bytes long"), "archives")
+    ordered = plan.sortWithinPartitions("page_id", "payload_digest", "url")
+    return stored(ordered.mapInArrow(run, "archive string, n_records long, n_bytes long"), "archives")
+
+
+def _file_system(folder: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's file system of a folder; Hadoop's names of the S3 client mean S3."""
+    scheme, mark, rest = folder.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if mark and scheme in ("s3a", "s3n") else folder)
 
 
 def parse_archive(raw: bytes) -> Iterator[dict]:
-    """The records of one archive, each with its headers and its HTTP block."""
+    """The records of one archive, its warcinfo first, each with its headers and its block."""
     magic, n = struct.unpack_from("<II", raw)
     if magic != DICT_MAGIC:
         raise ValueError("an archive must start with its dictionary")
@@ -139,18 +187,28 @@ def parse_archive(raw: bytes) -> Iterator[dict]:
 
 
 def _page(urn: str | None) -> int | None:
-    tail = (urn or "").removeprefix("<urn:page:").removesuffix(">")
+    tail = (urn or "").removeprefix("<urn:page:").removesuffix(">").partition(":")[0]
     return int(tail) if tail else None
 
 
-def read_archives(spark, folder: str) -> DataFrame:
-    """A row for each record in the archives of a folder; a revisit has a null payload."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
+def read_archives(spark, folder: str, listed: DataFrame | None = None) -> DataFrame:
+    """A row for each page's record in the archives of a folder; a revisit has a null payload, and so has a null url.
+
+    ``listed``, as of write_archives, says which of the archives count; without it all do.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+    if listed is not None:
+        name = F.element_at(F.split("path", "/"), -1)
+        wanted = listed.select(F.element_at(F.split("archive", "/"), -1).alias("_name"))
+        files = files.join(small(wanted, wanted.count(), BROADCAST_DIGESTS), name == F.col("_name"), "left_semi")
+    files = files.select("content")
     names = [f.split(" ")[0] for f in READ.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
     def rows(raw: bytes) -> Iterator[tuple]:
         for r in parse_archive(raw):
+            if r["WARC-Type"] == "warcinfo":
+                continue
             http, _, payload = r["block"].partition(b"\r\n\r\n")
             stated = int(http.rpartition(b"Content-Length: ")[2])
             revisit = r["WARC-Type"] == "revisit"
@@ -180,9 +238,9 @@ def archive(pages: DataFrame) -> DataFrame:
     folder = shared_path(spark, "warc")
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
-    write_archives(plan_records(pages), folder)
-    return read_archives(spark, folder)
+    return read_archives(spark, folder, write_archives(plan_records(pages), folder, info=True))
 
 
 def archive_digest(pages: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) as read back; null html is 0 bytes, a null page_id stays null."""
     return archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
