@@ -5,7 +5,8 @@ ones propose more. Four labelers (pattern, gazetteer, context, shape) vote yes,
 Votes are counted by their combination, of which there are at most 81 a kind; from the counts,
 expectation-maximisation estimates the labelers' reliabilities and each combination's probability of
 being real. A logistic span classifier is then trained on these probabilities over votes and span
-features, again by counted combinations, and adds the loose spans that it accepts.
+features, again by counted combinations, and adds the loose spans that it accepts. Strict candidates that fail the
+base's own test, such as numbers that fail Luhn's, are votes to learn from and never become spans.
 
 The patterns are written so that none can take more than linear time in the length of a text: each
 starts where the leftmost match can start, and repeats single characters or bounded groups only.
@@ -34,7 +35,7 @@ STRICT = {
 }
 #: Looser candidates: written-out addresses, and numbers without a country code.
 LOOSE = {
-    "email": rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+(?: ?[\[(] ?at ?[\])] ?){_LABEL}{{1,63}}+(?:(?: ?[\[(] ?dot ?[\])] ?|\.){_LABEL}{{1,63}}+){{1,8}}+",
+    "email": rf"(?<!{_LOCAL}){_LOCAL}++(?: ?[\[(] ?at ?[\])] ?){_LABEL}++(?:(?: ?[\[(] ?dot ?[\])] ?|\.){_LABEL}++)++",
     "phone": r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,5}\)?[ ./-]{1,2}[0-9]{2,5}[ .-][0-9]{2,6}(?:[ -][0-9]{2,5})?(?![0-9])",
 }
 #: What a text must hold before a pattern is run over it.
@@ -220,7 +221,7 @@ def detect(docs: DataFrame) -> DataFrame:
     ahead = F.min(F.when(F.col("base"), F.col("start"))).over(Window.partitionBy("uid").orderBy(F.desc("start"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumns({"reach": reach, "ahead": ahead})
     clear = (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.col("ahead").isNull() | (F.col("ahead") >= F.col("end")))
-    chosen = spans.where(F.col("base") | (clear & (F.col("score") > 0)))
+    chosen = spans.where(F.col("base") | (~F.col("strict") & clear & (F.col("score") > 0)))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     chosen = chosen.groupBy("uid").agg(
         F.array_sort(F.collect_set(F.struct("start", rank.alias("rank"), "end", "kind", "base", "value"))).alias("spans")
@@ -231,8 +232,12 @@ def detect(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """The columns of op6, a row for each row of docs, and n_spans: the spans of all kinds, added ones included.
+
+    A null or empty text counts no span of any kind; its base_sha256 is that of the empty string.
+    """
     found = detect(docs.select("doc_id", "text"))
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["base"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in KINDS], hex_sha256(written(base)).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in KINDS], hex_sha256(written(base)).alias("base_sha256"), written(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
