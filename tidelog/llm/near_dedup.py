@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import small, small_batches, stored
+from tidelog.llm.shared import FILE_ROWS, small, small_batches, stored
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -154,8 +154,8 @@ def shingle_frequencies(docs: DataFrame) -> np.ndarray:
     sums = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     table = np.zeros(TABLE, np.int64)
     with small_batches(docs.sparkSession):
-        for r in sums.toLocalIterator():
-            table[r["bucket"]] = r["n"]
+        counts = sums.toArrow()  # TABLE rows at most, whatever the input
+    table[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
     return table
 
 
@@ -287,40 +287,46 @@ def components(links: DataFrame) -> DataFrame:
 
     Each turn every node goes over to the neighbour of the least hash, itself included; links between
     the nodes that are left go on. A star needs two turns, and a chain loses a part of its nodes in each.
+    The turns' moves are put together at the end, last ones first.
     """
-    links = stored(links.select(*_ordered("a", "b")).where("a <> b").distinct(), "edges")
-    labels, turn = None, 0
-    while not links.isEmpty():
+    most = links.count()
+    links = stored(links.select(*_ordered("a", "b")).where("a <> b").distinct(), "edges", most)
+    steps, turn = [], 0
+    while n := links.count():
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("uid"))
         least = F.least(F.min(rank("b")), F.min(rank("a")))["uid"]
-        step = stored(both.groupBy("a").agg(least.alias("to")), "steps")
-        to = [step.select(F.col("a").alias(c), F.col("to").alias(f"{c}_to")) for c in "ab"]
+        step = stored(both.groupBy("a").agg(least.alias("to")), "steps", 2 * n)
+        to = [small(step.select(F.col("a").alias(c), F.col("to").alias(f"{c}_to")), 2 * n, FILE_ROWS) for c in "ab"]
         moved = links.join(to[0], "a").join(to[1], "b").where("a_to <> b_to")
-        if labels is None:
-            labels = step.select(F.col("a").alias("uid"), F.col("to").alias("class_uid"))
-        else:
-            on = step.select(F.col("a").alias("class_uid"), "to")
-            labels = labels.join(on, "class_uid", "left").select("uid", F.coalesce("to", "class_uid").alias("class_uid"))
-        links, turn = stored(moved.select(*_ordered("a_to", "b_to")).distinct(), "edges"), turn + 1
-        labels = stored(labels, "labels")
-    if labels is None:
+        links, turn = stored(moved.select(*_ordered("a_to", "b_to")).distinct(), "edges", n), turn + 1
+        steps.append((step.select(F.col("a").alias("uid"), F.col("to").alias("class_uid")), 2 * n))
+    if not steps:
         return links.select(F.col("a").alias("uid"), F.col("b").alias("class_uid"))
-    return labels
+    labels, rows = steps.pop()
+    for step, ends in reversed(steps):
+        labels, rows = _moved(step, labels, rows), ends
+    return stored(labels, "labels", rows)
+
+
+def _moved(labels: DataFrame, after: DataFrame, rows: int) -> DataFrame:
+    """labels (uid, class_uid) whose classes have gone over to those that after, of at most so many rows, has for them."""
+    after = after.select(F.col("uid").alias("class_uid"), F.col("class_uid").alias("into"))
+    return labels.join(small(after, rows, FILE_ROWS), "class_uid", "left").select("uid", F.coalesce("into", "class_uid").alias("class_uid"))
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """labels after new links (a, b), whose components are sought among the classes only."""
     if labels is None:
         return components(links)
+    n, before = links.count(), labels.count()
     ends = links.select(F.col("a").alias("uid")).unionByName(links.select(F.col("b").alias("uid"))).distinct()
     from_a = _classed(links.withColumnRenamed("a", "uid"), labels).select(F.col("class_uid").alias("a"), F.col("b").alias("uid"))
-    between = stored(_classed(from_a, labels).select("a", F.col("class_uid").alias("b")).where("a <> b").distinct(), "links")
+    between = stored(_classed(from_a, labels).select("a", F.col("class_uid").alias("b")).where("a <> b").distinct(), "links", n)
     if between.isEmpty():
         return labels
-    after = components(between).select(F.col("uid").alias("class_uid"), F.col("class_uid").alias("into"))
     known = labels.unionByName(_classed(ends.join(labels, "uid", "left_anti"), None))
-    return stored(known.join(after, "class_uid", "left").select("uid", F.coalesce("into", "class_uid").alias("class_uid")), "labels")
+    return stored(_moved(known, components(between), 2 * n), "labels", before + 2 * n)
 
 
 def _classed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -401,11 +407,12 @@ def _meeting(posts: DataFrame, labels: DataFrame | None, threshold: float) -> Da
     the lightest text under its shingle.
     """
     posts = _classed(posts, labels)
-    share = threshold / (1 + threshold)
+    share, most = threshold / (1 + threshold), posts.count()
     for _ in range(2):
         met = posts.groupBy("found").agg(F.min("total").alias("least"), F.min("class_uid").alias("low"), F.max("class_uid").alias("high"))
         posts = posts.join(met.where("low <> high").select("found", "least"), "found")
-        posts = stored(posts.where(F.col("total") - F.col("before") + 1e-6 >= share * (F.col("total") + F.col("least"))).drop("least"), "posts")
+        posts = stored(posts.where(F.col("total") - F.col("before") + 1e-6 >= share * (F.col("total") + F.col("least"))).drop("least"), "posts", most)
+        most = posts.count()
     return posts
 
 
@@ -440,11 +447,11 @@ def prefix_pairs(posts: DataFrame, threshold: float) -> DataFrame:
 
 def _rounds(members: DataFrame, held: DataFrame, frequencies: np.ndarray, threshold: float) -> DataFrame | None:
     """(uid, class_uid) of what links between members of common buckets (key, uid) connect."""
-    labels = None
+    labels, most = None, members.count()
 
-    def verify(pairs: DataFrame) -> None:
+    def verify(pairs: DataFrame, most: int | None = None) -> None:
         nonlocal labels
-        labels = _merged(labels, stored(similar(stored(pairs, "pairs"), held, threshold), "links"))
+        labels = _merged(labels, stored(similar(stored(pairs, "pairs", most), held, threshold), "links"))
 
     def open_buckets(turn: int) -> DataFrame:
         now = _classed(members, labels)
@@ -452,20 +459,20 @@ def _rounds(members: DataFrame, held: DataFrame, frequencies: np.ndarray, thresh
             F.min("class_uid").alias("low"), F.max("class_uid").alias("high"),
             F.min(F.struct(F.xxhash64("uid", F.lit(turn)).alias("h"), "uid", "class_uid")).alias("pivot"),
         ).where("low <> high")
-        return stored(now.join(mixed.select("key", "pivot"), "key"), "buckets")
+        return stored(now.join(mixed.select("key", "pivot"), "key"), "buckets", most)
 
     for turn in range(PIVOTS):
         buckets = open_buckets(turn)
         if buckets.isEmpty():
             return labels
-        verify(buckets.where(F.col("class_uid") != F.col("pivot.class_uid")).select(*_ordered("uid", "pivot.uid")).distinct())
-    asked = stored(open_buckets(PIVOTS).select("uid").distinct(), "open")
+        verify(buckets.where(F.col("class_uid") != F.col("pivot.class_uid")).select(*_ordered("uid", "pivot.uid")).distinct(), most)
+    asked = stored(open_buckets(PIVOTS).select("uid").distinct(), "open", most)
     posts = stored(prefixes(held.join(asked, "uid", "left_semi"), frequencies, threshold), "posts")
     for turn in range(HUBS):
         meeting = _meeting(posts, labels, threshold)
         if meeting.isEmpty():
             return labels
-        verify(hub_pairs(meeting, turn))
+        verify(hub_pairs(meeting, turn), meeting.count())
     verify(prefix_pairs(stored(celled(_meeting(posts, labels, threshold), held, frequencies), "cells"), threshold))
     return labels
 
@@ -484,7 +491,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     frequencies = shingle_frequencies(known)
     idf = idf_table(frequencies, known.count())
     drawn = stored(sketch(known, idf).withColumn("uid", F.monotonically_increasing_id()), "sketches")
-    copies = stored(drawn.groupBy("digest").agg(F.min("uid").alias("rep"), F.count("*").alias("n")), "copies")
+    copies = stored(drawn.groupBy("digest").agg(F.min("uid").alias("rep"), F.count("*").alias("n")), "copies", drawn.count())
     many = copies.where("n > 1").select("digest", "rep")
     same = drawn.select("uid", "digest").join(small(many, many.count()), "digest").where("uid <> rep").select("uid", "rep")
     same = stored(same, "same")

@@ -12,6 +12,8 @@ from tidelog.folders import shared_path
 
 #: Most rows of a few longs that a join may broadcast; beyond it, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Rows of a few longs that a stored table of known size has in each of its files at most.
+FILE_ROWS = 20_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -31,9 +33,15 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> It
             spark.conf.set(k, v)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: a lost executor costs no more than its tasks."""
+def stored(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """df, written to the shared folder and read again: a lost executor costs no more than its tasks.
+
+    Where df is known to have at most ``most`` narrow rows, it is written by as many tasks as they need,
+    so that a few rows don't become a file for each shuffle partition.
+    """
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    if most is not None:
+        df = df.coalesce(most // FILE_ROWS + 1)
     with small_batches(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
